@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import part_of, stage, task_id
 
-CURVES, WINDOW, AXES, BITS = 12, 1024, 6, 10
+CURVES, WINDOW, AXES, BITS = 16, 2048, 4, 12
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
