@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
+import time
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -53,8 +55,11 @@ def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that are no longer referenced."""
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop the shuffle files of plans that are no longer referenced; its cleaner works beside, so it is waited for a moment."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
