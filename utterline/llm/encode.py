@@ -57,7 +57,7 @@ class ChunkEncoder(Generations):
                 if not chunk.isascii():
                     chunk = chunk.encode().decode("latin-1").translate(self.letters)
                 return array("I", [t.id for t in self.model.tokenize(chunk)]).tobytes()
-        elif (base := chunk.rstrip(_TAIL)) != chunk and base.isalpha():  # letters and signs are split before merging
+        elif (base := chunk.rstrip(_TAIL)) != chunk and base.isalpha() and base.lower().isalpha():  # letters and signs are split before merging; a lower case that isn't all letters would join the signs
             return self[base] + self[chunk[len(base):]]
         return array("I", self.tokenizer.encode_batch_fast([chunk], add_special_tokens=False)[0].ids).tobytes() if chunk else b""
 
