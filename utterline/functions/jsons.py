@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def first_blob(text: str) -> str | None:
@@ -45,7 +46,7 @@ def repair_text(text: str | None) -> str:
     return "{}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def repair(texts: pd.Series) -> pd.Series:
     return texts.map(repair_text)
 
