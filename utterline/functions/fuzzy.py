@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable
 
 import pandas as pd
@@ -30,9 +31,18 @@ def partial_ratio(a: str, b: str, at_least: float = 0) -> float:
     n, best, masks = len(short), 0.0, {}
     for i, c in enumerate(short):
         masks[c] = masks.get(c, 0) | 1 << i
+    need, have, common = Counter(short), Counter(), 0
     for i in range(1 - n, len(long)):
         part = long[max(0, i) : i + n]
-        common = sum(c in masks for c in part)  # no more letters can agree
+        if i + n <= len(long):
+            c = long[i + n - 1]
+            have[c] += 1
+            common += have[c] <= need[c]
+        if i > 0:
+            c = long[i - 1]
+            common -= have[c] <= need[c]
+            have[c] -= 1
+        # no more letters can agree than both have
         if 200 * common / (n + len(part)) > max(best, at_least - 1e-9):
             best = max(best, 200 * _lcs(part, masks, n) / (n + len(part)))
     return best
