@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import time
 import uuid
+import weakref
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -121,12 +122,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Generations(dict):
     """A mapping that fills itself through ``make`` and keeps at most two generations of ``size`` entries.
 
-    It lives in a reused Python worker, so its bound is per worker, whatever the input's size.
+    It lives in a reused Python worker, so its bound is per worker, whatever the input's size. When the maps of another
+    module come into use, those of the module before are emptied: a worker that serves several operators holds one's maps.
     """
 
-    def __init__(self, make: Callable, size: int = 150_000):
+    _all: weakref.WeakValueDictionary = weakref.WeakValueDictionary()
+    _user: str | None = None
+
+    def __init__(self, make: Callable, size: int = 60_000):
         super().__init__()
-        self.make, self.size, self.old = make, size, {}
+        self.make, self.size, self.old, self.user = make, size, {}, make.__module__
+        Generations._all[id(self)] = self
 
     def __missing__(self, key):
         if (value := self.old.get(key)) is None:
@@ -135,11 +141,21 @@ class Generations(dict):
         return value
 
     def put(self, key, value) -> None:
+        if Generations._user != self.user:
+            self._take_over()
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
         self[key] = value
 
+    def _take_over(self) -> None:
+        for other in list(Generations._all.values()):
+            if other.user != self.user:
+                other.clear()
+                other.old = {}
+        Generations._user = self.user
+        pa.default_memory_pool().release_unused()
+
 
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm

@@ -60,7 +60,7 @@ _WORDS: list[Generations] = []
 
 def _word_hash() -> Generations:
     if not _WORDS:
-        _WORDS.append(Generations(lambda w: xxhash.xxh3_64_intdigest(w.encode()), 150_000))
+        _WORDS.append(Generations(lambda w: xxhash.xxh3_64_intdigest(w.encode())))
     return _WORDS[0]
 
 
