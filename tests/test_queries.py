@@ -1,7 +1,7 @@
 import compare
 import pytest
 
-from utterline.plans.queries import ORACLES, QUERIES
+from utterline.plans import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 

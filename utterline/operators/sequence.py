@@ -101,3 +101,89 @@ def viterbi(df: DataFrame, group: str, order: str, scores: list[str], penalty: f
 
     kinds = dict(df.dtypes)
     return df.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {order} {kinds[order]}, label int")
+
+
+def rolled_windows(df: DataFrame, start: str, end: str, total: Column, size: float = 1.0, hop: float = 0.3, before: float = 0.2, after: float = 0.1, tail: float = 0.3) -> DataFrame:
+    """Windows over segments widened by ``before`` and ``after`` within the file's ``total`` seconds; a short segment is one window.
+
+    What is left after the last full window gets a window of ``size`` at the end if, from that window's start, over ``tail`` of a size is left.
+    """
+    s, e = F.greatest(F.lit(0.0), F.col(start) - before), F.least(total, F.col(end) + after)
+    df = df.withColumn("_s", s).withColumn("_e", e).where(F.col("_e") - F.col("_s") > 1e-6)
+    n = F.floor((F.col("_e") - F.col("_s") - size) / hop + 1e-9).cast("int") + 1
+    full = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda k: F.struct((F.col("_s") + k * hop).alias("window_start"), F.least(F.col("_s") + k * hop + size, F.col("_e")).alias("window_end")))
+    last = F.col("_s") + (n - 1) * hop
+    more = (F.col("_e") - last > tail * size) & (last + size < F.col("_e") - 1e-9)
+    rest = F.array(F.struct(F.greatest(F.col("_s"), F.col("_e") - size).alias("window_start"), F.col("_e").alias("window_end")))
+    short = F.col("_e") - F.col("_s") <= size + 1e-6
+    whole = F.array(F.struct(F.col("_s").alias("window_start"), F.col("_e").alias("window_end")))
+    windows = F.when(short, whole).when(more, F.concat(full, rest)).otherwise(full)
+    out = df.select("*", F.posexplode(windows).alias("window", "_w"))
+    return out.withColumn("window_start", F.round("_w.window_start", 6)).withColumn("window_end", F.round("_w.window_end", 6)).drop("_s", "_e", "_w")
+
+
+def without_overlaps(df: DataFrame, group: str) -> DataFrame:
+    """Adds ``clear_start`` and ``clear_end``: an overlap goes to the earlier segment.
+
+    Each start moves to the end before it and no end lies before its start, so ends are a running maximum: a window, not a loop.
+    """
+    w = W.partitionBy(group).orderBy("start", "end")
+    reach = lambda r: F.max(F.greatest("start", "end")).over(w.rowsBetween(W.unboundedPreceding, r))
+    return df.withColumn("clear_start", F.greatest(F.col("start"), reach(-1))).withColumn("clear_end", reach(0))
+
+
+def aligned_speaker(a: DataFrame, b: DataFrame, key: str, a_id: str, text: str, early: float = 3.0, window: float = 12.0, least: float = 0.2, dominant: float = 0.85, default: str = "Speaker 1") -> DataFrame:
+    """key, a_id, speaker of each phrase of ``a`` with a text and a length.
+
+    A phrase that starts before ``early`` goes to the speaker who talks most in its part before ``window``; another to the speaker of
+    its longest overlap over ``least``, if that covers ``dominant`` of it, else to who talks most in it; without overlaps to ``default``.
+    Of equals the least name, or the earliest overlap.
+    """
+    said = a.where((F.trim(F.coalesce(F.col(text), F.lit(""))) != "") & (F.col("end") > F.col("start")))
+    o = overlaps(said, b, key, a_id)
+    cut = F.when(F.col("a_start") < early, F.greatest(F.lit(0.0), F.least("a_end", "b_end", F.lit(window)) - F.greatest("a_start", "b_start"))).otherwise(F.col("overlap"))
+    per = o.groupBy(key, a_id, "speaker").agg(F.round(F.sum(cut), 6).alias("total"), F.max(F.when(F.col("overlap") > least, F.struct(F.round("overlap", 6).alias("n"), (-F.col("b_start")).alias("at")))).alias("best"), F.first("a_start").alias("s"), F.first("a_end").alias("e"))
+    won = per.groupBy(key, a_id).agg(F.min_by("speaker", F.when(F.col("total") > 0, F.struct(-F.col("total"), F.col("speaker")))).alias("most"), F.max_by("speaker", "best").alias("longest"), F.max("best")["n"].alias("n"), F.first("s").alias("s"), F.first("e").alias("e"))
+    clear = (F.col("s") >= early) & F.coalesce(F.col("n") / (F.col("e") - F.col("s")) >= dominant, F.lit(False))
+    named = won.select(key, a_id, F.when(clear, F.col("longest")).otherwise(F.col("most")).alias("speaker"))
+    return said.select(key, a_id).join(named, [key, a_id], "left").fillna(default, "speaker")
+
+
+def cut_segments(df: DataFrame, group: str, start: str, end: str, label: str, part: str, gap: float = 0.15, least: float = 1.0, bias: float = 0.04) -> DataFrame:
+    """group, start, end, label: labelled windows as segments.
+
+    Windows of one ``part`` that follow within ``gap`` grow a segment while the label stays; where it changes, the segments meet
+    midway between the old one's and the new window's middles, plus ``bias``, within both. Segments under ``least`` go, then equal
+    neighbours within ``gap`` join. Each cut moves the next segment's start, so a file's windows pass through one Arrow group.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([start, end], kind="stable")
+        found: list[list] = []
+        held = None
+        for s, e, who, where in zip(pdf[start], pdf[end], pdf[label], pdf[part], strict=True):
+            near = found and where == held and s - found[-1][1] <= gap + 1e-9
+            if near and who == found[-1][2]:
+                found[-1][1] = max(found[-1][1], e)
+                continue
+            if near:
+                last = found[-1]
+                cut = ((last[0] + last[1]) / 2 + (s + e) / 2) / 2 + bias
+                cut = min(max(cut, last[0]), e)
+                last[1] = s = cut if cut <= last[1] else max(last[1], min(cut, s))
+            found.append([s, e, who])
+            held = where
+        out: list[list] = []
+        for s, e, who in found:
+            if e - s < least - 1e-6:
+                continue
+            if out and who == out[-1][2] and s - out[-1][1] <= gap + 1e-9:
+                out[-1][1] = max(out[-1][1], e)
+            else:
+                out.append([s, e, who])
+        done = pd.DataFrame(out, columns=["start", "end", label])
+        done.insert(0, group, pdf[group].iloc[0])
+        return done
+
+    kinds = dict(df.dtypes)
+    return df.select(group, start, end, label, part).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, start double, end double, {label} {kinds[label]}")
