@@ -67,3 +67,28 @@ def test_audio_listing(spark, tmp_path):
     for n in ("a.WAV", "b.txt", "c.mp3"):
         (tmp_path / n).write_bytes(b"123")
     assert sorted((r.file_name, r.length) for r in tables.audio_files(spark, str(tmp_path)).drop("content").collect()) == [("a.WAV", 3), ("c.mp3", 3)]
+
+
+def _naive_two(x):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = 1 - u @ u.T
+    groups = [[i] for i in range(len(x))]
+    while len(groups) > 2:
+        pairs = [(d[np.ix_(a, b)].mean(), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j]
+        _, i, j = min(pairs)
+        groups[i] += groups.pop(j)
+    return sorted(map(sorted, groups))
+
+
+def test_two_clusters_equal_plain_average_linkage():
+    rng = np.random.default_rng(4)
+    for n in (2, 3, 9, 30):
+        x = rng.normal(size=(n, 5))
+        labels = segments.two_clusters(x, least=0.0)
+        assert sorted([sorted(np.flatnonzero(labels == k).tolist()) for k in (0, 1)]) == _naive_two(x)
+
+
+def test_lopsided_clusters_are_split(spark):
+    x = [[1.0, 0.01 * i] for i in range(19)] + [[-1.0, 0.0]]
+    got = segments.speaker_clusters(spark.createDataFrame([("f", i, v) for i, v in enumerate(x)], "f string, i int, e array<double>"), "f", "i", "e").toPandas()
+    assert got.label.sum() == 10

@@ -95,3 +95,64 @@ def enforce_dwell(df: DataFrame, group: str, order: str, label: str, least: floa
 
     kinds = dict(df.dtypes)
     return df.select(group, order, label, "start", "end").groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {order} {kinds[order]}, {label} {kinds[label]}")
+
+
+def two_clusters(x: np.ndarray, least: float = 0.15) -> np.ndarray:
+    """Labels 0 and 1 by average linkage on cosine distances; the first row has label 0.
+
+    If one side has under ``least`` of the rows, rows are split at the middle of their order along the line between the two means.
+    Uses nearest-neighbour chains: time grows as the square of the rows, and so does memory (4 bytes a pair).
+    """
+    n = len(x)
+    if n < 2:
+        return np.zeros(n, int)
+    unit = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+    d = 1 - unit @ unit.T
+    np.fill_diagonal(d, np.inf)
+    size, alive, chain, merges = np.ones(n), np.ones(n, bool), [], []
+    for _ in range(n - 1):
+        if not chain:
+            chain.append(int(alive.argmax()))
+        while True:
+            a = chain[-1]
+            b = int(d[a].argmin())
+            if len(chain) > 1 and d[a, chain[-2]] <= d[a, b]:
+                b = chain[-2]
+                break
+            chain.append(b)
+        chain = chain[:-2]
+        merges.append((float(d[a, b]), a, b))
+        row = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+        d[a], d[:, a], d[b], d[:, b] = row, row, np.inf, np.inf
+        d[a, a] = np.inf
+        size[a] += size[b]
+        alive[b] = False
+    parent = np.arange(n)
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    top = max(range(len(merges)), key=lambda k: (merges[k][0], k))
+    for k, (_, a, b) in enumerate(merges):
+        if k != top:
+            parent[root(a)] = root(b)
+    roots = np.array([root(i) for i in range(n)])
+    labels = (roots != roots[0]).astype(int)
+    if not least <= labels.mean() <= 1 - least:
+        line = unit[labels == 1].mean(0) - unit[labels == 0].mean(0)
+        labels = np.zeros(n, int)
+        labels[np.argsort(unit @ line, kind="stable")[n // 2 :]] = 1
+    return labels
+
+
+def speaker_clusters(df: DataFrame, group: str, order: str, embedding: str, least: float = 0.15) -> DataFrame:
+    """group, order, ``label``: a file's windows in two clusters. All of a file's windows meet in one task, so groups must be files."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
+        return pd.DataFrame({group: pdf[group], order: pdf[order], "label": two_clusters(np.stack(pdf[embedding].map(np.asarray)), least)})
+
+    kinds = dict(df.dtypes)
+    return df.where(F.col(embedding).isNotNull()).select(group, order, embedding).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {order} {kinds[order]}, label int")
