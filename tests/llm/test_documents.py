@@ -133,3 +133,24 @@ def test_rule_measures_and_learning(spark, docs):
     learned = rules.learn(measured, labels)
     assert learned and all(r["k"] == (r.doc_id % 4 > 0) for r in measured.select("doc_id", rules.verdict(learned).alias("k")).collect())
     assert rules.learn(measured, labels.limit(0)) == []
+
+
+def test_language_model_tells_rare_words_and_pairs_apart(shipped):
+    """Every word is rare and equally so: only counts of all pairs tell a seen order from an unseen one."""
+    rows = [(i, " ".join(f"rare{i}x{k}" for k in range(40))) for i in range(300)]
+    train = shipped.createDataFrame(rows, "doc_id long, text string")
+    model, counts = lm.fit(train, F.lit(True), head=8)
+    rng = np.random.default_rng(3)
+    asked = [(i, t) for i, t in rows[:20]] + [(1000 + i, " ".join(rng.permutation(t.split()))) for i, t in rows[:20]] + [(2000 + i, t.replace("rare", "new")) for i, t in rows[:20]]
+    got = {r.doc_id: r.score for r in lm.score(shipped.createDataFrame(asked, "doc_id long, text string"), model, counts).collect()}
+    for i in range(20):
+        assert got[i] > -0.3 * 41 and got[1000 + i] < got[i] - 41 and got[2000 + i] < got[i] - 41
+    h = np.concatenate([lm.hashes(t) for _, t in rows])
+    before = np.concatenate([[np.uint64(0)], h[:-1]])
+    before[::41] = 0
+    assert (model.bloom.level(h) > 0).all() and (model.bloom.level(lm.pair_keys(before, h)) > 0).all()
+
+
+def test_filter_grows_with_its_entries(shipped):
+    sizes = [lm.build_filter(shipped.range(n).selectExpr("id * 7919 AS key", "1L AS n")).segments for n in (1000, 1_000_000)]
+    assert sizes[0] == 1 and sizes[1] == -(-1_000_000 * lm.HASHES * 3 // (2 * lm.SEGMENT))

@@ -4,17 +4,18 @@ Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case, then one
 
 What is gathered from the training texts:
 
-* all word counts, exactly, by a shuffle of counts that each task has summed; they stay a distributed table. N, V
-  and the base score come from it. Counts of the most frequent words (at most ``HEAD``) are broadcast, words rarer than
-  those meet their counts in a join, so nothing that grows with the corpus is broadcast;
-* one- and two-word counts over a vocabulary of the ``VOCABULARY`` most frequent words and a class for the rest. At most
-  (VOCABULARY + 3) ** 2 of them exist. Their quantised logarithms go into the Bloom filter: a key with level q is
-  entered with (key, 1) .. (key, q), and a probe counts up until one is missing. Its size follows the number of entries
-  and is bounded by ``MOST_BITS``; it is built by a shuffle of its 64-bit cells.
-
-The model: P(w | v) = mix * c(v, w) / c(v) + (1 - mix) * c(w) / N over vocabulary classes, with counts read back from
-the filter by repeated probes, times (c(w) + 1) / (N_rest + V_rest + 1) for a word of the rest. Filter errors only
-raise a count, by one level with a probability of about ``2 ** -HASHES``.
+* counts of all words and of all pairs of neighbouring words (the start of a text counts as a word before), exactly, on
+  64-bit hashes, by a shuffle of counts that each task has summed. They stay distributed tables. N, V and the base score
+  come from the words'. Counts of the most frequent words (at most ``HEAD``) are broadcast, words rarer than those meet
+  their counts in a join;
+* the quantised logarithms of all these counts in a Bloom filter: a key with level q is entered with (key, 1) .. (key, q),
+  and a probe counts up until one is missing. The filter is cut into segments of ``SEGMENT`` bits by the key's hash, as
+  many as the entries need; tasks build them, the driver only passes them on to a file, one after the other. Every
+  executor gets that file once (``SparkContext.addFile``) and its workers map it, so they share its pages.
+
+The model: P(w | v) = mix * c(v, w) / c(v) + (1 - mix) * (c(w) + 1) / (N + V + 1), the last part alone after a v that
+was not seen; counts are read back from the filter by repeated probes. Filter errors only raise a count, by one level with
+a probability of about ``2 ** -HASHES``; c(v, w) is at most c(v) and c(w), so pairs with an unseen word mostly stay unseen.
 
 Nulls: a null or empty text has the end alone. Null doc_ids count as the text "". Repeated rows are scored each, and
 trained on each. An empty table, or one without training rows, gives N = 0 and V = 0. Other columns are ignored.
@@ -22,17 +23,25 @@ trained on each. An empty table, or one without training rows, gives N = 0 and V
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Generations, doc_hash_column, free_shuffles, pieces, stage, task_id, texts_of, words_of
+from .common import Generations, doc_hash_column, free_shuffles, part_of, pieces, stage, task_id, texts_of, words_of
 
-HEAD, VOCABULARY, MIX, STEPS, HASHES, MOST_BITS = 1 << 17, 4096, 0.7, 2, 4, 1 << 30
+HEAD, MIX, STEPS, HASHES, SEGMENT = 1 << 17, 0.7, 2, 4, 1 << 20
 _LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
 _END = 1  # the end's hash; a word's is never 0 or 1
+_START = 0  # stands before a text's first word; its count is the number of texts
 _WORDS: list[Generations] = []
 
 
@@ -62,27 +71,55 @@ def level_counts(level: np.ndarray, steps: int = STEPS) -> np.ndarray:
     return np.where(level > 0, np.exp2((level - 0.5) / steps), 0.0) * (level != 1) + (level == 1) * 1.0
 
 
-def places(keys: np.ndarray, level: np.ndarray | int, bits: int, hashes: int = HASHES):
-    """The bit numbers of (key, level), one array for each hash."""
+def _mixed(h: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        h = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (np.asarray(level).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(32)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def pair_keys(before: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Keys of pairs of neighbouring words."""
+    with np.errstate(over="ignore"):
+        return _mixed(before * np.uint64(0x9E3779B97F4A7C15) + h + np.uint64(0x632BE59BD9B4E019))
+
+
+def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
+    return (_mixed(keys.astype(np.uint64)) >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)
+
+
+def places(keys: np.ndarray, level: np.ndarray | int, hashes: int = HASHES):
+    """The bit numbers of (key, level) within the key's segment, one array for each hash."""
+    with np.errstate(over="ignore"):
+        h = _mixed((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (np.asarray(level).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
         step = (h >> np.uint64(17)) * np.uint64(0xD6E8FEB86659FD93) | np.uint64(1)
         for k in range(hashes):
-            yield (h + np.uint64(k) * step) >> np.uint64(64 - bits)
+            yield (h + np.uint64(k) * step) >> np.uint64(64 - SEGMENT.bit_length() + 1)
 
 
 class Filter:
-    """A Bloom filter of 2 ** bits bits in 64-bit cells."""
+    """A Bloom filter in a file of segments that ``SparkContext.addFile`` has given to all executors."""
+
+    def __init__(self, name: str, segments: int, hashes: int = HASHES):
+        self.name, self.segments, self.hashes = name, segments, hashes
 
-    def __init__(self, cells: np.ndarray, bits: int, hashes: int = HASHES):
-        self.cells, self.bits, self.hashes = cells, bits, hashes
+    def __getstate__(self):
+        return {"name": self.name, "segments": self.segments, "hashes": self.hashes}
+
+    @property
+    def cells(self) -> np.ndarray:
+        if "_cells" not in self.__dict__:
+            self._cells = np.memmap(SparkFiles.get(self.name), np.uint8, "r")
+        return self._cells
 
     def holds(self, keys: np.ndarray, level: int) -> np.ndarray:
-        out = np.ones(len(keys), bool)
-        for p in places(keys, level, self.bits, self.hashes):
-            out &= (self.cells[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) > 0
+        cells, left = self.cells, np.arange(len(keys))
+        first = segment_of(keys, self.segments) * np.uint64(SEGMENT // 8)
+        for p in places(keys, level, self.hashes):
+            own = p[left]
+            left = left[(cells[first[left] + (own >> np.uint64(3))] >> (own & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+        out = np.zeros(len(keys), bool)
+        out[left] = True
         return out
 
     def level(self, keys: np.ndarray) -> np.ndarray:
@@ -98,32 +135,57 @@ class Filter:
         return level_counts(self.level(keys))
 
 
-def build_filter(counted: DataFrame, most_bits: int = MOST_BITS, hashes: int = HASHES) -> Filter:
-    """A filter of (key, n) rows."""
+def build_filter(counted: DataFrame, hashes: int = HASHES) -> Filter:
+    """A filter of (key, n) rows, sized by their levels. A task holds one segment, the driver one partition of them."""
+    spark = counted.sparkSession
     level = (F.lit(1) + F.floor(STEPS * F.log2("n") + 1e-9)).cast("long")
     entries = counted.agg(F.sum(level)).first()[0] or 0
-    bits = int(min(most_bits, max(1 << 16, entries * hashes * 1.5))).bit_length()
-    bits = min(bits, int(most_bits).bit_length() - 1)
+    segments = max(1, -(-entries * hashes * 3 // (2 * SEGMENT)))
+    parts = max(part_of(counted), segments * SEGMENT // 8 // (16 << 20) + 1)
 
-    def run(batches):
+    def dealt(batches):
         for batch in batches:
-            keys, q = batch.column("key").to_numpy().view(np.uint64), levels(batch.column("n").to_numpy())
-            keys, q = np.repeat(keys, q), np.concatenate([np.arange(1, x + 1) for x in q] or [np.zeros(0, int)])
-            p = np.unique(np.concatenate([*places(keys, q, bits, hashes)]))
-            cell, bit = (p >> np.uint64(6)).astype(np.int64), np.uint64(1) << (p & np.uint64(63))
-            start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, int)
-            yield pa.RecordBatch.from_arrays([pa.array(cell[start]), pa.array(np.bitwise_or.reduceat(bit, start).view(np.int64) if len(start) else np.zeros(0, np.int64))], ["cell", "bits"])
+            keys = batch.column("key").to_numpy().view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(segment_of(keys, segments).astype(np.int64)), *batch.columns], ["segment", *batch.schema.names])
+
+    def run(batches):
+        held, bits = None, np.zeros(SEGMENT, bool)
 
-    cells = counted.select("key", "n").mapInArrow(run, "cell long, bits long").groupBy("cell").agg(F.expr("bit_or(bits)").alias("bits"))
-    out = np.zeros(1 << max(0, bits - 6), np.uint64)
-    cells = stage(cells, "filter", "zstd")
-    for batch in _arrow_parts(cells):
-        out[batch.column("cell").to_numpy()] = batch.column("bits").to_numpy().view(np.uint64)
-    return Filter(out, bits, hashes)
+        def give():
+            return pa.RecordBatch.from_arrays([pa.array([held], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["segment", "bits"])
 
+        for batch in batches:
+            own = batch.column("segment").to_numpy()
+            keys, q = batch.column("key").to_numpy().view(np.uint64), levels(batch.column("n").to_numpy())
+            ends = [*np.flatnonzero(own[1:] != own[:-1]) + 1, len(own)]
+            for a, b in zip([0, *ends[:-1]], ends, strict=True):
+                if a == b:
+                    continue
+                if own[a] != held:
+                    if held is not None:
+                        yield give()
+                    held = int(own[a])
+                    bits[:] = False
+                k, most = keys[a:b], q[a:b]
+                for x in range(1, int(most.max()) + 1):
+                    k, most = k[most >= x], most[most >= x]
+                    for p in places(k, x, hashes):
+                        bits[p] = True
+        if held is not None:
+            yield give()
 
-def _arrow_parts(df: DataFrame):
-    return df.toArrow().to_batches()
+    cut = counted.select("key", "n").mapInArrow(dealt, "segment long, key long, n long")
+    built = stage(cut.repartition(parts, "segment").sortWithinPartitions("segment").mapInArrow(run, "segment long, bits binary"), "filter", "zstd")
+    root = Path(tempfile.mkdtemp(prefix="utterline-filter-"))
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    path = root / f"filter-{uuid.uuid4().hex}"
+    with path.open("wb") as f:
+        f.truncate(segments * SEGMENT // 8)
+        for r in built.toLocalIterator():
+            f.seek(r["segment"] * SEGMENT // 8)
+            f.write(r["bits"])
+    spark.sparkContext.addFile(str(path))
+    return Filter(path.name, segments, hashes)
 
 
 def _text(docs: DataFrame) -> DataFrame:
@@ -134,49 +196,39 @@ def held_out(column: str = "doc_id"):
     return doc_hash_column(column) % 7 == 2
 
 
-def _counted(rows: DataFrame, keys_of, name: str, most_bytes: int = 8 << 20) -> DataFrame:
-    """(key, n) over all texts: summed per batch of text, then by a shuffle."""
+def _counted(rows: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
+    """(one, key, n) of all words (``one``) and pairs: summed per batch of text, then by a shuffle."""
 
     def run(batches):
-        held, size = [], 0
+        one, two, size = [], [], 0
 
         def give():
-            key, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+            for held, word in ((one, True), (two, False)):
+                key, n = np.unique(np.concatenate(held), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), word)), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["one", "key", "n"])
+                held.clear()
 
         for batch in batches:
             for piece in pieces(batch):
                 for t in texts_of(piece.column("text")):
-                    held.append(keys_of(t))
+                    h = hashes(t)
+                    one.append(h)
+                    two.append(pair_keys(np.concatenate([[np.uint64(_START)], h[:-1]]), h))
                     size += len(t)
                 if size >= most_bytes:
-                    yield give()
-                    held, size = [], 0
-        if held:
-            yield give()
+                    yield from give()
+                    size = 0
+        if one:
+            yield from give()
 
-    return stage(rows.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), name, "zstd")
+    return stage(rows.select("text").mapInArrow(run, "one boolean, key long, n long").groupBy("one", "key").agg(F.sum("n").alias("n")), "grams", "zstd")
 
 
 class Model:
-    """What scoring needs on each worker: the head's counts, the vocabulary, the filter, and totals."""
-
-    def __init__(self, head: np.ndarray, head_counts: np.ndarray, vocabulary: np.ndarray, n: int, v: int, n_rest: int, v_rest: int, bloom: Filter | None = None):
-        self.head, self.head_counts, self.vocabulary = head, head_counts, vocabulary
-        self.n, self.v, self.n_rest, self.v_rest, self.bloom = n, v, n_rest, v_rest, bloom
+    """What scoring needs on each worker: the head's counts, totals, and where the filter is."""
 
-    def classes(self, h: np.ndarray) -> np.ndarray:
-        """Vocabulary numbers from 2; 1 for the rest; 0 is the start."""
-        if not len(self.vocabulary):
-            return np.ones(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == h, at + 2, 1)
-
-    def keys(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One- and two-word keys of a text."""
-        c = self.classes(h)
-        before = np.concatenate([[0], c[:-1]])
-        return c.astype(np.uint64), (c | (before + 1) << 20).astype(np.uint64)
+    def __init__(self, head: np.ndarray, head_counts: np.ndarray, n: int, v: int, bloom: Filter):
+        self.head, self.head_counts, self.n, self.v, self.bloom = head, head_counts, n, v, bloom
 
     def head_count(self, h: np.ndarray) -> np.ndarray:
         """Counts of words of the head, -1 for others."""
@@ -185,24 +237,25 @@ class Model:
         at = np.minimum(np.searchsorted(self.head, h), len(self.head) - 1)
         return np.where(self.head[at] == h, self.head_counts[at], -1)
 
-    def singles(self) -> np.ndarray:
-        """Counts of all classes, and last of the texts, read from the filter once for each worker."""
-        if not hasattr(self, "_singles"):
-            self._singles = np.maximum(self.bloom.counts(np.append(np.arange(len(self.vocabulary) + 2), 1 << 40).astype(np.uint64)), 0.5)
-        return self._singles
-
-    def class_scores(self, h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 P(class | class before) of each token of texts that begin at ``starts``, and which words are of the rest."""
-        c, one = self.classes(h), self.singles()
-        before = np.concatenate([[0], c[:-1]])
-        before[starts] = 0
-        pairs, inverse = np.unique(c | (before + 1) << 20, return_inverse=True)
-        context = np.where(before == 0, one[-1], one[before])
-        p = MIX * np.minimum(self.bloom.counts(pairs.astype(np.uint64))[inverse] / np.maximum(context, 1), 1) + (1 - MIX) * one[c] / max(self.n, 1)
-        return np.log10(np.clip(p, 1e-12, 1)), c == 1
-
-
-def _vocabulary(counts: DataFrame, most: int) -> DataFrame:
+    def word_scores(self, h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """log10 P(word | word before) of each token of texts that begin at ``starts``."""
+        words, at = np.unique(np.append(h, np.uint64(_START)), return_inverse=True)
+        before = np.concatenate([at[-1:], at[:-2]])
+        at = at[:-1]
+        before[starts] = np.searchsorted(words, np.uint64(_START))
+        one = self.bloom.counts(words)
+        pairs, inverse = np.unique(at.astype(np.int64) * len(words) + before, return_inverse=True)
+        w, v = pairs // len(words), pairs % len(words)
+        two = np.zeros(len(pairs))
+        seen = np.flatnonzero((one[w] > 0) & (one[v] > 0))
+        two[seen] = self.bloom.counts(pair_keys(words[v[seen]], words[w[seen]]))
+        two = np.minimum(two, np.minimum(one[w], one[v]))
+        alone = (one[w] + 1) / (self.n + self.v + 1)
+        p = np.where(one[v] > 0, MIX * two / np.maximum(one[v], 1) + (1 - MIX) * alone, alone)
+        return np.log10(np.minimum(p, 1))[inverse]
+
+
+def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
     """The most frequent words that number at most ``most``: those above a count found from how many words have each count."""
     spectrum = sorted(((r["n"], r["words"]) for r in counts.groupBy("n").agg(F.count("*").alias("words")).collect()), reverse=True)
     total, least = 0, None
@@ -213,28 +266,20 @@ def _vocabulary(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(F.col("n") >= least) if least is not None else counts.limit(0)
 
 
-def fit(docs: DataFrame, training, head: int = HEAD, vocabulary: int = VOCABULARY) -> tuple[Model, DataFrame]:
-    """The model of the rows that ``training`` (a condition on doc_id) holds for, and the table of all word counts (key, n)."""
-    rows = _text(docs).where(training)
-    counts = _counted(rows, hashes, "words")
+def fit(docs: DataFrame, training, head: int = HEAD, vocabulary: int | None = None) -> tuple[Model, DataFrame]:
+    """The model of the rows that ``training`` (a condition on doc_id) holds for, and the table of all word counts (key, n).
+
+    All words and pairs are in the model; ``vocabulary``, which once bounded them, has no effect.
+    """
+    grams = _counted(_text(docs).where(training))
+    counts = stage(grams.where("one").select("key", "n"), "words", "zstd")
     free_shuffles(docs.sparkSession)
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-
-    def top(most):
-        t = _vocabulary(counts, most).toArrow()
-        key, n = t.column("key").to_numpy().view(np.uint64), t.column("n").to_numpy()
-        by = np.argsort(key)
-        return key[by], n[by]
-
-    head_keys, head_counts = top(head)
-    words, word_counts = top(vocabulary)
-    model = Model(head_keys, head_counts, words, total["n"], total["v"], total["n"] - int(word_counts.sum()), total["v"] - len(words))
-
-    def grams(text):
-        one, two = model.keys(hashes(text))
-        return np.concatenate([one, two, np.array([1 << 40], np.uint64)])  # the last counts texts: the start's count
-
-    model.bloom = build_filter(_counted(rows, grams, "grams"))
+    t = _most_frequent(counts, head).toArrow()
+    key, n = t.column("key").to_numpy().view(np.uint64), t.column("n").to_numpy()
+    by = np.argsort(key)
+    texts = counts.where(F.col("key") == _END).select(F.lit(_START).cast("long").alias("key"), "n")  # a text has one end and one start
+    model = Model(key[by], n[by], total["n"], total["v"], build_filter(grams.select("key", "n").unionByName(texts)))
     free_shuffles(docs.sparkSession)
     return model, counts
 
@@ -252,15 +297,15 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 h, size = np.concatenate(texts), np.array([len(x) for x in texts])
                 starts = np.cumsum(size) - size
                 c = m.head_count(h)
-                classes, rest = m.class_scores(h, starts)
+                scores = m.word_scores(h, starts)
                 near = np.where(c >= 0, np.log10(np.maximum(c, 0) + 1.0), 0.0)
                 far = np.concatenate([[0], np.cumsum(c < 0)])[np.append(starts, len(h))].astype(np.int32)
-                sums = [np.add.reduceat(x, starts) for x in ((c > 0).astype(np.int64), near, classes, rest.astype(np.int64), np.where(rest, near, 0.0))]
+                sums = [np.add.reduceat(x, starts) for x in ((c > 0).astype(np.int64), near, scores)]
                 rows = (part << 40) + np.arange(number, number + len(texts))
                 number += len(texts)
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("held_out"), pa.array(rows), pa.array(size), *map(pa.array, sums), pa.ListArray.from_arrays(pa.array(far), pa.array(h[c < 0].view(np.int64)))], names)
 
-    schema = "doc_id long, held_out boolean, row long, n_tokens long, known long, near double, classes double, n_rest long, near_rest double, far array<bigint>"
+    schema = "doc_id long, held_out boolean, row long, n_tokens long, known long, near double, score double, far array<bigint>"
     names = [x.split(" ")[0] for x in schema.split(", ")]
     scored = stage(_text(docs).mapInArrow(run, schema), "scored", "zstd")
     far = scored.select("row", F.explode("far").alias("key"))
@@ -271,4 +316,4 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("far_known", F.lit(0).cast("long"))).alias("n_known"), n.alias("train_tokens"),
         (F.col("near") + far_log - F.col("n_tokens") * F.log10((n + v + 1).cast("double"))).alias("base_score"),
-        (F.col("classes") + F.col("near_rest") + far_log - F.col("n_rest") * F.log10(F.lit(float(model.n_rest + model.v_rest + 1)))).alias("score"))
+        "score")
