@@ -27,3 +27,17 @@ def test_search_is_exact_within_one_window_and_handles_odd_vectors(shipped):
         best = np.lexsort([ids, -s])[:20]
         assert [(r, v) for r, v, _ in sorted(found)] == [(k + 1, int(ids[b])) for k, b in enumerate(best)]
     assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_recall_holds_on_many_windows(shipped):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(10, 32))[rng.integers(0, 10, 6000)] + rng.normal(size=(6000, 32))
+    df = shipped.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id) for r in ann.search(df, F.col("vec_id") % 40 == 0, window=64).collect()}
+    want = set()
+    for q in range(0, 6000, 40):
+        s = x @ x[q]
+        s[q] = -np.inf
+        want |= {(q, int(i)) for i in np.argsort(-s)[:20]}
+    assert len(got) == len(want) and len(got & want) >= 0.98 * len(want)  # 0.92 with 16 curves
+    assert ann.curves_for(2000) == 16 and ann.curves_for(500_000) > ann.curves_for(150_000) > 16

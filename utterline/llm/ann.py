@@ -5,7 +5,8 @@ all to the greatest norm (queries get 0 there), so the largest product is the le
 orderings projects them on a few random orthogonal directions, spreads each by its own mean and deviation, shifts and
 turns the cube and numbers its cells along a Hilbert curve. Rows are range-partitioned by that key in Spark; their ranks,
 from the counts of the partitions, cut each curve into windows of ``window`` rows. A query is compared exactly with its
-own window and the two beside it, and the best of all curves merge.
+own window and the two beside it, and the best of all curves merge. Windows have a fixed size, so that a task's memory
+is bounded; the number of curves follows the rows (``curves_for``), so that recall holds as a table grows.
 
 Equal vectors are one class: one place on each curve, with its least ``k + 1`` ids (all that can be in an answer), cut
 before any shuffle. So a vector that a third of the rows share costs one row, and ties go to smaller ids exactly.
@@ -28,6 +29,11 @@ from .common import part_of, stage, task_id
 CURVES, WINDOW, AXES, BITS = 16, 2048, 4, 12
 
 
+def curves_for(rows: int, window: int = WINDOW) -> int:
+    """``CURVES`` up to 25 windows of rows, from there with the power 2/3 of the rows: as the chance that a curve brings a neighbour near falls."""
+    return round(CURVES * max(1.0, rows / (25 * window)) ** (2 / 3))
+
+
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     """Places of cells (rows of non-negative integers under 2**bits) along a Hilbert curve, as int64."""
     x = cells.astype(np.int64).T.copy()
@@ -70,8 +76,8 @@ def _lifted(x: np.ndarray, query: np.ndarray, most: float) -> np.ndarray:
     return np.column_stack([np.where(query[:, None], x / norm[:, None], x / most), np.where(query, 0, extra / most)])
 
 
-def search(vectors: DataFrame, query, k: int = 20, curves: int = CURVES, window: int = WINDOW, axes: int = AXES, bits: int = BITS) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the ``k`` best found for each row that ``query`` (a condition on vec_id) holds for."""
+def search(vectors: DataFrame, query, k: int = 20, curves: int | None = None, window: int = WINDOW, axes: int = AXES, bits: int = BITS) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: the ``k`` best found for each row that ``query`` (a condition on vec_id) holds for; on ``curves_for`` the classes unless ``curves`` are given."""
     v = F.col("embedding")
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v)
     finite = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
@@ -87,6 +93,7 @@ def search(vectors: DataFrame, query, k: int = 20, curves: int = CURVES, window:
     asked = own.where(query).select("embedding").distinct().withColumn("asked", F.lit(True))
     classes = stage(ids.join(asked, "embedding", "left").select("embedding", "ids", F.coalesce("asked", F.lit(False)).alias("asked")), "classes")
 
+    curves = curves or curves_for(classes.count(), window)
     axes_of = _directions(d + 1, curves, axes)
 
     def moments(batches):
@@ -160,9 +167,9 @@ def search(vectors: DataFrame, query, k: int = 20, curves: int = CURVES, window:
         return pa.table({"first": pa.array(names, pa.int64()), "found": pa.array(values, pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())])))})
 
     found = met.groupBy("curve", "block").applyInArrow(best, "first long, found array<struct<score double, vec_id bigint>>")
-    # at most 3 * curves lists of k + 1 for each class
-    flat = F.array_distinct(F.flatten(F.collect_list("found")))
-    merged = found.groupBy("first").agg(F.slice(F.sort_array(F.transform(flat, lambda f: F.struct((-f["score"]).alias("s"), f["vec_id"].alias("vec_id")))), 1, k + 1).alias("found"))
+    # at most 3 * curves lists of k + 1 for each class; sorted, so that repeats are neighbours
+    ordered = F.sort_array(F.flatten(F.collect_list(F.transform("found", lambda f: F.struct((-f["score"]).alias("s"), f["vec_id"].alias("vec_id"))))))
+    merged = found.groupBy("first").agg(ordered.alias("all")).select("first", F.slice(F.filter("all", lambda f, i: (i == 0) | (f != F.get("all", i - 1))), 1, k + 1).alias("found"))
     named = classes.where("asked").select("embedding", F.element_at("ids", 1).alias("first")).join(merged, "first")
     queries = own.where(query).select(F.col("vec_id").alias("query_id"), "embedding").distinct()
     out = queries.join(named, "embedding").select("query_id", F.filter("found", lambda f: f["vec_id"] != F.col("query_id")).alias("found"))
