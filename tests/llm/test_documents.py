@@ -154,3 +154,17 @@ def test_language_model_tells_rare_words_and_pairs_apart(shipped):
 def test_filter_grows_with_its_entries(shipped):
     sizes = [lm.build_filter(shipped.range(n).selectExpr("id * 7919 AS key", "1L AS n")).segments for n in (1000, 1_000_000)]
     assert sizes[0] == 1 and sizes[1] == -(-1_000_000 * lm.HASHES * 3 // (2 * lm.SEGMENT))
+
+
+def test_pseudonyms_of_whole_secrets():
+    rng, p = np.random.default_rng(5), pii.Pseudonyms(b"k")
+    text = lambda n: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), n))
+    for value in ("eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0." + text(43), "SG." + text(22) + "." + text(43), text(230), text(400), text(5000) + "=="):
+        new, kinds = p.replace(f"token = {value}. And more")
+        own = new.removeprefix("token = ").removesuffix(". And more")
+        assert kinds == {"secret": 1} and len(own) == len(value) and p.replace(new, inverse=True)[0] == f"token = {value}. And more"
+        assert all(a != b for a, b in zip(re.findall(r"\w{8,}", value), re.findall(r"\w{8,}", own), strict=True))
+        assert all(own[i : i + 12] != value[i : i + 12] for i in range(len(value) - 12))
+    f = pii.Feistel(b"key")
+    for size in (1 << 1030, 1 << 3000):
+        assert f.permute(f.permute(size - 5, size, b"t"), size, b"t", True) == size - 5

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import pieces
 
 ROUNDS = 8
+#: Most characters that are permuted as one number; longer values go in chained blocks.
+BLOCK = 128
 _FIRST = datetime.date(1900, 1, 1).toordinal()
 _LAST = datetime.date(2099, 12, 31).toordinal()
 _HINT = re.compile("[0-9@]")
@@ -41,7 +43,7 @@ _NUMBERS = re.compile(
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+\-]{1,64}\Z")
 _DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w])")
-_SECRET = re.compile(r"(?i)\b(?:token|secret|passw(?:or)?d|api[_\-]?key|access[_\-]?key|auth)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<value>[A-Za-z0-9_\-+/]{8,256})")
+_SECRET = re.compile(r"(?i)\b(?:token|secret|passw(?:or)?d|api[_\-]?key|access[_\-]?key|auth)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<value>[A-Za-z0-9_\-+/][A-Za-z0-9_\-+/.=~]{6,}[A-Za-z0-9_\-+/=~])")
 
 
 class Feistel:
@@ -51,7 +53,9 @@ class Feistel:
         self.key = key
 
     def _round(self, tweak: bytes, i: int, half: int, bits: int) -> int:
-        h = blake2b(tweak + bytes([i, bits & 0xFF]) + half.to_bytes(64, "little"), key=self.key, digest_size=64).digest()
+        size = -(-bits // 8)
+        start = tweak + bytes([i, bits & 0xFF]) + half.to_bytes(max(64, size), "little")
+        h = b"".join(blake2b(start + bytes(k), key=self.key, digest_size=64).digest() for k in range(-(-size // 64)))
         return int.from_bytes(h, "little") & ((1 << bits) - 1)
 
     def permute(self, x: int, size: int, tweak: bytes, inverse: bool = False) -> int:
@@ -103,7 +107,16 @@ class Pseudonyms:
         return str(x).zfill(n)
 
     def letters(self, kind: str, text: str, inverse: bool = False) -> str:
-        """Each ASCII letter or digit within its class, as one number of mixed radix."""
+        """Each ASCII letter or digit within its class; blocks of ``BLOCK`` characters, each after the pseudonym of the one before."""
+        out, before = [], ""
+        for at in range(0, len(text), BLOCK):
+            part = text[at : at + BLOCK]
+            out.append(self._letters(kind + (blake2b(before.encode(), digest_size=16).hexdigest() if at else ""), part, inverse))
+            before = part if inverse else out[-1]
+        return "".join(out)
+
+    def _letters(self, kind: str, text: str, inverse: bool) -> str:
+        """One block, as one number of mixed radix."""
         x, size, sets = 0, 1, []
         for c in text:
             s = "0123456789" if "0" <= c <= "9" else "abcdefghijklmnopqrstuvwxyz" if "a" <= c <= "z" else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if "A" <= c <= "Z" else None
