@@ -168,3 +168,10 @@ def test_pseudonyms_of_whole_secrets():
     f = pii.Feistel(b"key")
     for size in (1 << 1030, 1 << 3000):
         assert f.permute(f.permute(size - 5, size, b"t"), size, b"t", True) == size - 5
+
+
+def test_keep_one_decides_each_row(shipped):
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(8, "one two"), (8, "one two"), (3, near), (5, near.replace("w30", "x")), (5, "a text of its own that no other row has"), (6, near), (6, "six more words stand here alone"), (4, None), (4, None), (None, near)]
+    kept = ngram_join.keep_one(shipped.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [rows[0], rows[2], rows[4], rows[6], *rows[7:]]))

@@ -26,7 +26,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     mark = None
     for _ in range(most_rounds):
         # done when every node has one edge and no node is both a leaf and a hub
-        size = now.agg(F.count("*").alias("n"), F.sum("b").alias("s"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("h")).first()
+        size = now.agg(F.count("*").alias("n"), F.sum(F.col("b").cast("decimal(38,0)")).alias("s"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("h")).first()
         if size == mark or not size["n"]:
             break
         mark = size

@@ -235,6 +235,19 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows whose document is its group's first: the least doc_id, and of rows that repeat it one. Documents without words or id stay."""
-    found = join(docs, **options).where("class_id <> doc_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    """One row of each group: that of the least doc_id, and of its texts that of the least hash. Documents without words or id stay.
+
+    Rows are told apart by a 64-bit hash of doc_id and text, so texts that share a doc_id are decided each for itself.
+    """
+    own = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    marked = docs.withColumn("_row", F.when(F.col("doc_id").isNotNull(), own))
+    found = join(marked.select(F.col("_row").alias("doc_id"), "text"), **options).where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "_row")
+    found = stage(found.groupBy("_row", "class_id").agg(F.count("*").alias("times"), F.max("n_copies").alias("copies")), "rows")
+    ids = marked.where("_row IS NOT NULL").select(F.col("doc_id").cast("long").alias("own"), "_row").distinct()
+    first = found.join(ids, "_row").groupBy("class_id").agg(F.min(F.struct("own", "_row")).alias("first"))
+    later = stage(found.join(first, "class_id").where("_row <> first._row").select("_row"), "later")
+    kept = marked.join(later, "_row", "left_anti")
+    repeated = found.where("times > 1 AND copies > 1").select("_row")  # a document without words has one copy
+    if not repeated.isEmpty():
+        kept = kept.join(repeated, "_row", "left_anti").unionByName(kept.join(repeated, "_row", "left_semi").dropDuplicates(["_row"]))
+    return kept.select(docs.columns)
