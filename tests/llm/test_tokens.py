@@ -1,8 +1,10 @@
+import collections
 import hashlib
 import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from utterline.llm import bpe, packing, token_store
@@ -35,19 +37,42 @@ def test_store_and_packing(spark, docs):
     assert sorted((str(r.doc_id), zlib.crc32(_ids(t, r.text))) for r in rows) == sorted((str(r[0]), r[3]) for r in got)
     stream = np.concatenate([np.frombuffer(r.ids, "<u4") for r in sorted(token_store.read_store(spark, path).collect(), key=lambda r: r.start)])
     assert (token_store.read_ids(spark, path, 100, 3000) == stream[100:3100]).all()
-    pieces = packing.pack(docs).collect()
-    by: dict = {}
+
+
+def test_packing_equals_one_long_stream(docs):
+    """Every piece is the part of its document that it says, and the windows are the documents one after the other, cut."""
+    t, rows = Tokenizer.from_file(default_word_tokenizer()), docs.collect()
+    ids = collections.Counter((str(r.doc_id), _ids(t, r.text)) for r in rows)
+    packed = packing.pack(docs.withColumn("offset", F.lit("x")).withColumn("part", F.lit(1)))
+    pieces, digests = packed.collect(), packing.digests(packed).collect()
+    windows, whole = {}, {}
     for p in pieces:
-        assert p.offset + p.length <= 2048 and p.length == len(p.ids) // 4
-        by.setdefault(p.sequence_id, []).append((p.offset, p.length))
-    for k, own in by.items():
-        end = 0
-        for o, n in sorted(own):
-            assert o == end
-            end += n
-        assert end == 2048 or k == max(by)
-    assert sum(p.length for p in pieces) == at
-    assert packing.sequences(packing.pack(docs)).count() == len(by)
+        windows.setdefault(p.sequence_id, []).append((p.offset, p))
+        assert p.length == len(p.ids) // 4 and 0 < p.length and p.offset + p.length <= 2048
+    stream = [p for k in sorted(windows) for _, p in sorted(windows[k], key=lambda x: x[0])]
+    at = 0
+    for p in stream:
+        assert p.sequence_id * 2048 + p.offset == at
+        at += p.length
+    assert at == sum(len(x) // 4 * n for (_, x), n in ids.items())
+    got, held = collections.Counter(), b""
+    for p in stream:  # a document's pieces follow each other
+        assert p.start == len(held) // 4
+        held += bytes(p.ids)
+        if len(held) // 4 == p.doc_tokens:
+            got[str(p.doc_id), held] += 1
+            held = b""
+    assert got == ids and not held
+    assert sorted((str(r.doc_id), r.start, r.length, r.ids_crc32, r.doc_tokens, r.sequence_id, r.offset) for r in digests) == sorted((str(p.doc_id), p.start, p.length, zlib.crc32(p.ids), p.doc_tokens, p.sequence_id, p.offset) for p in pieces)
+    last = packing.sequences(packed).orderBy("sequence_id").collect()
+    assert [r.n_tokens for r in last[:-1]] == [2048] * (len(windows) - 1) and {len(r.ids) for r in last[:-1]} <= {8192}
+    assert all(bytes(r.ids)[: 4 * r.n_tokens] == b"".join(bytes(p.ids) for _, p in sorted(windows[r.sequence_id], key=lambda x: x[0])) for r in last)
+
+
+def test_windows_of_a_power_of_two_are_not_padded(spark):
+    rows = [(0, 0, b"\1\0\0\0" * 2048), (1, 0, b"\1\0\0\0" * 512), (2, 0, b"\1\0\0\0" * 513)]
+    got = packing.sequences(spark.createDataFrame(rows, "sequence_id long, offset long, ids binary")).orderBy("sequence_id").collect()
+    assert [len(r.ids) // 4 for r in got] == [2048, 512, 2048]
 
 
 def test_encoder_equals_library():

@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Generations, pieces, texts_of
+from .common import Generations, arrow_map, pieces, texts_of
 from .encode import byte_letters
 
 #: Fixed value: the published splitting pattern of byte-level vocabularies.
@@ -60,7 +60,7 @@ def default_byte_tokenizer() -> str:
 class BytePairs:
     """The transducer of one vocabulary file (JSON, byte-level, without normalizer)."""
 
-    def __init__(self, path: str, size: int = 150_000):
+    def __init__(self, path: str, size: int = 36 << 20):
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
         letters = {c: b for b, c in byte_letters().items()}
@@ -217,7 +217,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
             for piece in pieces(batch, most_bytes=1 << 20):
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([list(m.encode(t)) for t in texts_of(piece.column("text"))], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return _own(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return arrow_map(_own(docs), run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -233,7 +233,7 @@ def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
                 texts.append(d.feed(ids or ()) + d.end())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return arrow_map(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
 def digests(docs: DataFrame, tokenizer: str | None = None, step: int = 1 << 16) -> DataFrame:
@@ -258,7 +258,7 @@ def digests(docs: DataFrame, tokenizer: str | None = None, step: int = 1 << 16)
                     text_sha.append(b.hexdigest())
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _own(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(_own(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _take(m: BytePairs, held: list[int], n: int, a, b, d: Decoder) -> int:

@@ -1,12 +1,10 @@
-"""Shared plumbing: the shared folder, staged tables, Arrow maps and the word definition."""
+"""Shared plumbing: the shared folder, staged tables, skewed joins, Arrow maps and the word definition."""
 
 from __future__ import annotations
 
-import gc
-import os
+import atexit
 import shutil
 import tempfile
-import time
 import uuid
 import weakref
 import zlib
@@ -17,10 +15,15 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Words are runs of anything but ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-_WHITE = {c: " " for c in (9, 10, 11, 12, 13)}
+#: A key is hot when it has over 1 / HOT of all rows, and at least LEAST_HOT; so at most HOT keys are.
+HOT, LEAST_HOT = 200, 500
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN: dict[str, str] = {}
+_STAGED: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,38 +38,96 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
-        import atexit
-
         path = tempfile.mkdtemp(prefix="utterline-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         _OWN[app] = "file://" + path
     return _OWN[app]
 
 
+def staged_path(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder; ``release`` and the driver's end remove it."""
+    if not _STAGED:
+        atexit.register(release)
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _STAGED.append((spark, path))
+    return path
+
+
+def write_out(df: DataFrame, path: str, compression: str = "snappy") -> None:
+    """Write Parquet; the shuffle files behind it go as soon as it is written."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        conf.set(_CLEANUP, before)
+
+
 def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage: what follows survives a lost executor without running the part before again, and
     anything that a task decided (its partition number, say) is fixed by the files.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = staged_path(df.sparkSession, name)
+    write_out(df, path, compression)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove one staged folder."""
+    _STAGED[:] = [x for x in _STAGED if x[1] != path]
+    remove(spark, path)
+
+
+def mark() -> int:
+    """Where the list of staged folders stands, for ``release``."""
+    return len(_STAGED)
+
 
+def release(since: int = 0) -> None:
+    """Remove the folders staged after ``since``. Call it once every result that reads them is written."""
+    while len(_STAGED) > since:
+        spark, path = _STAGED.pop()
+        try:
+            remove(spark, path)
+        except Exception:  # noqa: BLE001 - the session's JVM may be gone at the driver's end
+            return
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that are no longer referenced; its cleaner works beside, so it is waited for a moment."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
 
+def hot_join(many: DataFrame, one: DataFrame, keys: list[str], count: str, total: int | None = None) -> DataFrame:
+    """Inner join of ``many`` to ``one``, which has one row for each key and, in ``count``, how many rows of ``many`` have it.
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    A hot key (see HOT) would fill one task; its row is broadcast instead, and there are at most HOT such rows, whatever the input.
+    """
+    if total is None:
+        total = one.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) > max(LEAST_HOT, total // HOT)
+    few = one.where(hot)
+    rest = many.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(one.where(~hot), keys)
+    return rest.unionByName(many.join(F.broadcast(few), keys))
+
+
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` with this package on the workers."""
+    ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
+def fresh(name: str, *taken) -> str:
+    """``name``, with underscores before it until no column of the tables ``taken`` is called so, whatever its case."""
+    have = {c.lower() for df in taken for c in df.columns}
+    while name.lower() in have:
+        name = "_" + name
+    return name
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings; null is empty."""
     return [t or "" for t in column.to_pylist()]
@@ -86,14 +147,6 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most_bytes: int = 4 << 2
         yield batch.slice(start)
 
 
-def words_of(text: str) -> list[str]:
-    """The words of ``WORD_PATTERN``, in order."""
-    for c in "\n\t\r\x0b\x0c":
-        if c in text:
-            text = text.replace(c, " ")
-    return [w for w in text.split(" ") if w]
-
-
 def doc_hash(doc_id) -> int:
     """crc32 of a document's id written as text."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
@@ -120,65 +173,42 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Generations(dict):
-    """A mapping that fills itself through ``make`` and keeps at most two generations of ``size`` entries.
+    """A mapping that fills itself through ``make`` and keeps at most two generations of ``size`` bytes each, estimated.
 
-    It lives in a reused Python worker, so its bound is per worker, whatever the input's size. When the maps of another
-    module come into use, those of the module before are emptied: a worker that serves several operators holds one's maps.
+    Values are numbers, tuples of them or bytes. It lives in a reused Python worker, so its bound is per worker, whatever the input's size. Keys of over
+    ``longest`` characters are made anew each time. When the maps of another module come into use, those of the module before are
+    emptied: a worker that serves several operators holds one's maps.
     """
 
     _all: weakref.WeakValueDictionary = weakref.WeakValueDictionary()
     _user: str | None = None
 
-    def __init__(self, make: Callable, size: int = 60_000):
+    def __init__(self, make: Callable, size: int = 24 << 20, longest: int = 256):
         super().__init__()
-        self.make, self.size, self.old, self.user = make, size, {}, make.__module__
+        self.make, self.size, self.longest, self.old, self.user, self.held = make, size, longest, {}, make.__module__, 0
         Generations._all[id(self)] = self
 
     def __missing__(self, key):
         if (value := self.old.get(key)) is None:
             value = self.make(key)
-        self.put(key, value)
+        if len(key) <= self.longest:
+            self.put(key, value)
         return value
 
     def put(self, key, value) -> None:
         if Generations._user != self.user:
             self._take_over()
-        if len(self) >= self.size:
+        if self.held >= self.size:
             self.old = dict(self)
             self.clear()
+            self.held = 0
         self[key] = value
+        self.held += 190 + len(key) + (len(value) if isinstance(value, bytes) else 8 * len(value) if isinstance(value, tuple) else 0)  # objects and table slots
 
     def _take_over(self) -> None:
         for other in list(Generations._all.values()):
             if other.user != self.user:
                 other.clear()
-                other.old = {}
+                other.old, other.held = {}, 0
         Generations._user = self.user
         pa.default_memory_pool().release_unused()
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def local_path(path: str) -> str:
-    return path.removeprefix("file://") if path.startswith("file://") else os.fspath(path)
-
-
-def ship(spark: SparkSession) -> None:
-    """Give this package to the executors, once for each application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_utterline_shipped", False):
-        return
-    import zipfile
-    from pathlib import Path
-
-    root = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp(prefix="utterline-zip-")) / "utterline_package.zip"
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(str(path))
-    sc._utterline_shipped = True

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import hot_join, stage
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Each node's larger (or, with itself, smaller) neighbours are linked to its least neighbour. Least neighbours come from a map-side minimum, so a hub's edges are never gathered."""
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """Each node's larger (or, with itself, smaller) neighbours are linked to its least neighbour.
+
+    Least neighbours come from a map-side minimum, and a hub meets its edges in ``hot_join``, so a hub's edges are never gathered.
+    """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both if large else both.where("b < a")
-    least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    linked = near.join(least, "a")
+    least = near.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    linked = hot_join(near, least, ["a"], "n", total)
     out = linked.where("b > a" if large else "b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:
         out = out.unionByName(least.select("a", F.col("m").alias("b")))
@@ -30,7 +33,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         if size == mark or not size["n"]:
             break
         mark = size
-        now = stage(_star(_star(now, True), False), "edges")
+        now = stage(_star(_star(now, True, 2 * size["n"]), False, 2 * size["n"]), "edges")
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -36,10 +36,10 @@ class ChunkEncoder(Generations):
     """``encode_many(texts)`` gives each text's ids as little-endian uint32 bytes.
 
     Valid for tokenizers that lower-case, drop white space and split letters from signs, as ``word_bpe_49k`` does.
-    ``size`` bounds the entries kept in each of two generations.
+    ``size`` bounds the bytes kept in each of two generations.
     """
 
-    def __init__(self, path: str, size: int = 150_000):
+    def __init__(self, path: str, size: int = 32 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, stage, task_id, texts_of
+from .common import arrow_map, pieces, ship, stage, task_id, texts_of
 from .encode import default_word_tokenizer, encoder
 
 WINDOW = 2048
@@ -42,7 +42,7 @@ def encoded(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1) -> D
                     ["doc_id", "part", "local_start", "n_tokens", "id_bytes", "ids"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return stage(own.mapInArrow(run, "doc_id long, part int, local_start long, n_tokens long, id_bytes int, ids binary"), "encoded", "zstd")
+    return stage(arrow_map(own, run, "doc_id long, part int, local_start long, n_tokens long, id_bytes int, ids binary"), "encoded", "zstd")
 
 
 def offsets_of(streams: DataFrame) -> dict[int, int]:
@@ -72,11 +72,11 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, en
                     done += take
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.binary())], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    return streams.mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return arrow_map(streams, cut, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def sequences(packed: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataFrame:
-    """sequence_id, ids (window * 4 bytes), n_tokens: the pieces of each window put together and padded.
+    """sequence_id, ids (4 bytes each), n_tokens: the pieces of each window put together, padded to ``window`` unless they number a power of two.
 
     A window has at most ``window`` pieces, so its group is bounded.
     """
@@ -85,8 +85,10 @@ def sequences(packed: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataF
         rows = sorted(zip(table.column("offset").to_pylist(), table.column("ids").to_pylist(), strict=True))
         ids = b"".join(x for _, x in rows)
         n = len(ids) // 4
-        return pa.table({"sequence_id": pa.array([key[0].as_py()], pa.int64()), "n_tokens": pa.array([n], pa.int64()), "ids": pa.array([ids + np.full(window - n, pad_id, "<u4").tobytes()], pa.binary())})
+        pad = window - n if n & (n - 1) else 0
+        return pa.table({"sequence_id": pa.array([key[0].as_py()], pa.int64()), "n_tokens": pa.array([n], pa.int64()), "ids": pa.array([ids + np.full(pad, pad_id, "<u4").tobytes()], pa.binary())})
 
+    ship(packed.sparkSession)
     return packed.select("sequence_id", "offset", "ids").groupBy("sequence_id").applyInArrow(build, "sequence_id long, n_tokens long, ids binary")
 
 
@@ -98,4 +100,4 @@ def digests(packed: DataFrame) -> DataFrame:
             crc = pa.array([zlib.crc32(x) for x in batch.column("ids").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "length")), crc, *(batch.column(c) for c in ("doc_tokens", "sequence_id", "offset"))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return packed.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return arrow_map(packed.select("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"), run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -1,14 +1,18 @@
 """Format-preserving pseudonyms for personal data.
 
-What is found is validated first (Luhn's sum, calendar, octets, mod 97, number plan) and then permuted within its
+What is found is validated first (Luhn's sum, calendar, octets, mod 97, number plans) and then permuted within its
 format by a keyed Feistel network, so the pseudonym is valid too, equal values get equal pseudonyms in every document,
-and who holds the key can invert it. Separators, letter case, country codes and top-level domains stay.
+and who holds the key can invert it. Separators, letter case, country codes, a card's first digit and top-level domains stay. A
+permutation that leaves the valid values is walked on until it is back among them, which keeps it one-to-one.
 
-Kinds: ``card`` (13 to 19 digits, Luhn), ``phone``, ``ssn``, ``date``, ``ip``, ``iban``, ``email``, ``secret``
-(values assigned to names such as token or api_key). Invalid look-alikes stay as they are.
+Kinds: ``card`` (13 to 19 digits, Luhn), ``phone`` (North American numbers keep to that plan, others keep whether they begin
+with 0), ``ssn``, ``date``, ``ip``, ``iban``, ``email``, ``secret`` (values assigned to names such as token or api_key, whole, of any
+length; after ``token``, ``secret`` or ``auth`` with a colon and no quote only if letters and digits mix, as prose has such colons).
+Invalid look-alikes stay as they are. Digits are the ASCII ones.
 
 Nulls: a null text stays null, with no finds. Repeated rows are kept. Columns other than the text keep their values and
-places; the operator's own columns are ``n_pii`` and ``pii_kinds``, and an input column of that name is replaced.
+places; the operator's own columns are ``n_pii`` and ``pii_kinds``, and an input column of that name is replaced, unless
+``counts`` is off: then only the text changes. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,33 +21,40 @@ import datetime
 import re
 from bisect import bisect
 from collections import Counter
+from collections.abc import Callable
 from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import arrow_map, pieces
 
 ROUNDS = 8
 #: Most characters that are permuted as one number; longer values go in chained blocks.
 BLOCK = 128
+#: What the registered query and, where the session names none, the pipeline use: anybody knows it, so it protects nothing.
+TEST_KEY, KEY_SETTING = b"a test key that everybody knows", "spark.utterline.pii.key"
 _FIRST = datetime.date(1900, 1, 1).toordinal()
 _LAST = datetime.date(2099, 12, 31).toordinal()
 _HINT = re.compile("[0-9@]")
+_NAMES = re.compile("(?i)token|secret|passw|key|auth")
+_DIGITS = frozenset("0123456789")
 _SEP = r"[ .\-]?"
 _NUMBERS = re.compile(
     r"(?<![\w.+\-])(?:"
-    r"(?P<phone>\+\d{1,3}" + _SEP + r"(?:\(\d{1,4}\)" + _SEP + r")?\d{1,4}(?:" + _SEP + r"\d{2,4}){1,4}|\(\d{3}\)" + _SEP + r"\d{3}[ .\-]\d{4}|\d{3}([.\-])\d{3}\2\d{4})"
-    r"|(?P<date>\d{4}([\-/.])\d{1,2}\4\d{1,2}|\d{1,2}([\-/.])\d{1,2}\5\d{4})"
-    r"|(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})"
-    r"|(?P<ssn>\d{3}-\d{2}-\d{4})"
-    r"|(?P<card>\d(?:[ \-]?\d){12,18})"
-    r")(?![\w]|[.\-]\d)")
-_IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+\-]{1,64}\Z")
+    r"(?P<phone>\+[0-9]{1,3}" + _SEP + r"(?:\([0-9]{1,4}\)" + _SEP + r")?[0-9]{1,4}(?:" + _SEP + r"[0-9]{2,4}){1,4}|\([0-9]{3}\)" + _SEP + r"[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}([.\-])[0-9]{3}\2[0-9]{4})"
+    r"|(?P<date>[0-9]{4}([\-/.])[0-9]{1,2}\4[0-9]{1,2}|[0-9]{1,2}([\-/.])[0-9]{1,2}\5[0-9]{4})"
+    r"|(?P<ip>[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})"
+    r"|(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})"
+    r"|(?P<card>[0-9](?:[ \-]?[0-9]){12,18})"
+    r")(?![\w]|[.\-][0-9])")
+_IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w])")
-_SECRET = re.compile(r"(?i)\b(?:token|secret|passw(?:or)?d|api[_\-]?key|access[_\-]?key|auth)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<value>[A-Za-z0-9_\-+/][A-Za-z0-9_\-+/.=~]{6,}[A-Za-z0-9_\-+/=~])")
+_SECRET = re.compile(r"(?i)\b(?P<name>token|secret|passw(?:or)?d|api[_\-]?key|access[_\-]?key|auth)\b[\"']?\s{0,3}(?P<sign>[:=])\s{0,3}(?P<quote>[\"']?)(?P<value>[A-Za-z0-9_\-+/][A-Za-z0-9_\-+/.=~]{6,}[A-Za-z0-9_\-+/=~])")
+#: Names after which a colon alone doesn't make a secret of a plain word.
+_COMMON = ("token", "secret", "auth")
 
 
 class Feistel:
@@ -85,9 +96,13 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
+def _digits(shape: str) -> str:
+    return "".join(c for c in shape if c in _DIGITS)
+
+
 def _refill(shape: str, digits: str) -> str:
     it = iter(digits)
-    return "".join(next(it) if c.isdigit() else c for c in shape)
+    return "".join(next(it) if c in _DIGITS else c for c in shape)
 
 
 class Pseudonyms:
@@ -97,14 +112,15 @@ class Pseudonyms:
         self.key = blake2b(key, digest_size=32).digest()
         self.feistel = Feistel(self.key)
 
-    def number(self, kind: str, digits: str, inverse: bool = False, lead: int = 0) -> str:
-        """Digits to digits of the same count; the first stays in ``lead`` .. 9."""
-        n = len(digits)
-        low = lead * 10 ** (n - 1)
-        if int(digits) < low:
-            return digits
-        x = self.feistel.permute(int(digits) - low, 10**n - low, f"{kind}{n}".encode(), inverse) + low
-        return str(x).zfill(n)
+    def number(self, kind: str, digits: str, inverse: bool = False, like: Callable[[str], object] | None = None) -> str:
+        """Digits to digits of the same count, of which ``like`` says the same as of these."""
+        n, wanted = len(digits), like(digits) if like else None
+        x = int(digits)
+        while True:
+            x = self.feistel.permute(x, 10**n, f"{kind}{n}".encode(), inverse)
+            out = str(x).zfill(n)
+            if like is None or like(out) == wanted:
+                return out
 
     def letters(self, kind: str, text: str, inverse: bool = False) -> str:
         """Each ASCII letter or digit within its class; blocks of ``BLOCK`` characters, each after the pseudonym of the one before."""
@@ -133,30 +149,29 @@ class Pseudonyms:
         return "".join(reversed(out))
 
     def card(self, shape: str, inverse: bool = False) -> str | None:
-        digits = "".join(c for c in shape if c.isdigit())
+        def whole(body: str) -> str:
+            return digits[0] + body + str(luhn(digits[0] + body))
+
+        digits = _digits(shape)
         if luhn(digits[:-1]) != int(digits[-1]) or len(set(digits)) == 1:
             return None
-        body = self.number("card", digits[:-1], inverse)
-        return _refill(shape, body + str(luhn(body)))
+        return _refill(shape, whole(self.number("card", digits[1:-1], inverse, lambda body: len(set(whole(body))) == 1)))
 
     def phone(self, shape: str, inverse: bool = False) -> str | None:
-        digits = "".join(c for c in shape if c.isdigit())
+        digits = _digits(shape)
         if not (8 if shape[0] == "+" else 10) <= len(digits) <= 15:
             return None
-        country = len(re.match(r"\+(\d{1,3})(?=\D)|\+(\d)|", shape)[0]) - 1 if shape[0] == "+" else 0
-        return _refill(shape, digits[:country] + self.number("phone", digits[country:], inverse))
+        country = len(re.match(r"\+([0-9]{1,3})(?=[^0-9])|\+([0-9])|", shape)[0]) - 1 if shape[0] == "+" else 0
+        own = digits[country:]
+        american = len(own) == 10 and digits[:country] in ("", "1")
+        return _refill(shape, digits[:country] + self.number("phone", own, inverse, (lambda d: d[0] > "1" and d[3] > "1") if american else (lambda d: d[0] == "0")))
 
     def ssn(self, shape: str, inverse: bool = False) -> str | None:
         def valid(d: str) -> bool:
             return d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
 
         digits = shape.replace("-", "")
-        if not valid(digits):
-            return None
-        while True:
-            digits = self.number("ssn", digits, inverse)
-            if valid(digits):
-                return _refill(shape, digits)
+        return _refill(shape, self.number("ssn", digits, inverse, valid)) if valid(digits) else None
 
     def ip(self, shape: str, inverse: bool = False) -> str | None:
         octets = shape.split(".")
@@ -166,7 +181,7 @@ class Pseudonyms:
         return ".".join(map(str, x.to_bytes(4, "big")))
 
     def date(self, shape: str, inverse: bool = False) -> str | None:
-        parts = re.findall(r"\d+", shape)
+        parts = re.findall("[0-9]+", shape)
         sep = shape[len(parts[0])]
         if len(parts[0]) == 4:
             order = (0, 1, 2)
@@ -204,19 +219,24 @@ class Pseudonyms:
         name, _, top = domain.rpartition(".")
         return f"{self.letters('local', local, inverse)}@{self.letters('domain', name, inverse)}.{top}"
 
-    def secret(self, shape: str, inverse: bool = False) -> str | None:
-        return self.letters("secret", shape, inverse) if any(c.isdigit() for c in shape) and any(c.isalpha() for c in shape) else None
+    def secret(self, shape: str, inverse: bool = False) -> str:
+        return self.letters("secret", shape, inverse)
 
     def spans(self, text: str):
         """(start, end, kind) of candidates, by preference."""
         at = text.find("@")
         while at >= 0:
-            local, domain = _LOCAL.search(text, max(0, at - 64), at), _DOMAIN.match(text, at + 1)
-            if local and domain and not local[0].startswith("."):
-                yield local.start(), domain.end(), "email"
+            start, domain = at, _DOMAIN.match(text, at + 1)
+            while domain and start and text[start - 1] in _LOCAL:
+                start -= 1
+            if domain and start < at and text[start] != ".":
+                yield start, domain.end(), "email"
             at = text.find("@", at + 1)
         for m in _SECRET.finditer(text):
-            yield *m.span("value"), "secret"
+            value = m["value"]
+            plain = value.isalpha() or not any(c.isalpha() for c in value)
+            if not (plain and m["name"].lower() in _COMMON and m["sign"] == ":" and not m["quote"]):
+                yield *m.span("value"), "secret"
         for m in _IBAN.finditer(text):
             yield *m.span(), "iban"
         for m in _NUMBERS.finditer(text):
@@ -224,7 +244,7 @@ class Pseudonyms:
 
     def replace(self, text: str, inverse: bool = False) -> tuple[str, Counter]:
         kinds: Counter = Counter()
-        if not _HINT.search(text):
+        if not _HINT.search(text) and not _NAMES.search(text):
             return text, kinds
         found, taken = [], []
         for start, end, kind in self.spans(text):
@@ -246,12 +266,19 @@ def _mod97(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text)) % 97
 
 
-def pseudonymize(docs: DataFrame, key: bytes = b"utterline", text: str = "text", inverse: bool = False) -> DataFrame:
-    """The rows with pseudonyms in ``text``, and ``n_pii`` and ``pii_kinds`` (kind to count) behind the other columns."""
+def session_key(spark: SparkSession) -> bytes:
+    """The key of the session's setting ``spark.utterline.pii.key``, else the test key."""
+    return (spark.conf.get(KEY_SETTING, None) or TEST_KEY.decode()).encode()
+
+
+def pseudonymize(docs: DataFrame, key: bytes, text: str = "text", inverse: bool = False, counts: bool = True) -> DataFrame:
+    """The rows with pseudonyms in ``text``, and ``n_pii`` and ``pii_kinds`` (kind to count) behind the other columns if ``counts``."""
     from pyspark.sql import types as T
 
-    own = docs.drop("n_pii", "pii_kinds").withColumn(text, F.col(text).cast("string"))
-    schema = T.StructType([*own.schema.fields, T.StructField("n_pii", T.LongType()), T.StructField("pii_kinds", T.MapType(T.StringType(), T.LongType()))])
+    if not key:
+        raise ValueError("a key is needed: without one anybody inverts the pseudonyms")
+    own = (docs.drop("n_pii", "pii_kinds") if counts else docs).withColumn(text, F.col(text).cast("string"))
+    schema = T.StructType([*own.schema.fields, *([T.StructField("n_pii", T.LongType()), T.StructField("pii_kinds", T.MapType(T.StringType(), T.LongType()))] if counts else [])])
 
     def run(batches):
         p = Pseudonyms(key)
@@ -264,6 +291,7 @@ def pseudonymize(docs: DataFrame, key: bytes = b"utterline", text: str = "text",
                     kinds.append(sorted(k.items()))
                 i = piece.schema.get_field_index(text)
                 cols = [pa.array(new, pa.string()) if j == i else c for j, c in enumerate(piece.columns)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([sum(v for _, v in k) for k in kinds], pa.int64()), pa.array(kinds, pa.map_(pa.string(), pa.int64()))], [*piece.schema.names, "n_pii", "pii_kinds"])
+                found = [pa.array([sum(v for _, v in k) for k in kinds], pa.int64()), pa.array(kinds, pa.map_(pa.string(), pa.int64()))] if counts else []
+                yield pa.RecordBatch.from_arrays([*cols, *found], schema.names)
 
-    return own.mapInArrow(run, schema)
+    return arrow_map(own, run, schema)

@@ -11,8 +11,8 @@ rows of least hash of doc_id); scores use whole texts. Labels, language, source
 
 Nulls: a null or empty text is a document without words, and gets the score of its zero vector. Rows with a null doc_id are
 scored and never learned from. Of several labels of a doc_id the lowest counts; null labels are ignored. Without
-both labels to learn from every score is the share of label 1, or 0.5. Other columns are ignored by ``score`` and kept by
-``keep_good``.
+both labels to learn from every score is the share of label 1, or 0.5. Other columns are kept; an input column named ``score`` is
+replaced by ``score`` and kept by ``keep_good``. Repeated rows are scored each. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Generations, doc_hash_column, pieces, stage, task_id, texts_of
+from .common import Generations, arrow_map, doc_hash_column, fresh, pieces, stage, task_id, texts_of
 
 WORDS, FORMS, DIM, NONZERO, SIDE = 1 << 14, 1 << 10, 32, 4, 2
 MOST_LABELLED, SAMPLE_TASKS, THRESHOLD = 20_000, 16, 0.3
@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_labelle
         yield pa.RecordBatch.from_arrays([pa.array([task_id()], pa.int32()), pa.array([table.tobytes()], pa.binary())], ["task", "sums"])
 
     context = np.zeros((WORDS, DIM), np.float64)
-    for r in sample.mapInArrow(sums, "task int, sums binary").toLocalIterator():  # one table at a time
+    for r in arrow_map(sample, sums, "task int, sums binary").toLocalIterator():  # one table at a time
         context += np.frombuffer(r["sums"], np.float32).reshape(WORDS, DIM)
     context = (context / np.maximum(1e-9, np.linalg.norm(context, axis=1, keepdims=True))).astype(np.float32)
 
@@ -186,15 +186,15 @@ def _features(sample: DataFrame, context: np.ndarray) -> DataFrame:
             x = [pooled(t, context).astype(np.float32).tobytes() for t in texts_of(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(x, pa.binary())], ["doc_id", "label", "x"])
 
-    return sample.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"), "text").mapInArrow(run, "doc_id long, label int, x binary")
+    return arrow_map(sample.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"), "text"), run, "doc_id long, label int, x binary")
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``score`` behind them."""
+def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
+    """All columns of ``docs`` with the score, as ``name``, behind them."""
     from pyspark.sql import types as T
 
-    docs = docs.drop("score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+    docs = docs.drop(name).withColumn(text, F.col(text).cast("string"))
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches):
         for batch in batches:
@@ -202,7 +202,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 x = np.array([pooled(t, model.context) for t in texts_of(piece.column(text))]).reshape(-1, 3 * DIM)
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(model.probabilities(x))], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return arrow_map(docs, run, schema)
 
 
 def held_out(column: str = "doc_id"):
@@ -211,4 +211,5 @@ def held_out(column: str = "doc_id"):
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows that the classifier doesn't reject."""
-    return score(docs, model).where(F.col("score") >= threshold).drop("score")
+    name = fresh("_score", docs)
+    return score(docs, model, name=name).where(F.col(name) >= threshold).drop(name)

@@ -17,7 +17,6 @@ gives an empty store. Columns beyond ``doc_id`` and ``text`` are ignored.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 import numpy as np
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import part_of, pieces, shared_dir, task_id, texts_of
+from .common import arrow_map, part_of, pieces, staged_path, task_id, texts_of, write_out
 from .encode import default_word_tokenizer, encoder
 
 BLOCK = 512
@@ -128,7 +127,7 @@ def write_store(docs: DataFrame, path: str | None = None, tokenizer: str | None
     """
     spark = docs.sparkSession
     tokenizer = tokenizer or default_word_tokenizer()
-    path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = path or staged_path(spark, "tokens")
     tail = np.array([end_id], "<u4").tobytes()
 
     def write(batches):
@@ -159,7 +158,8 @@ def write_store(docs: DataFrame, path: str | None = None, tokenizer: str | None
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     key = F.xxhash64("text")
     n = partitions or part_of(docs)
-    own.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), key).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), key, "text").mapInArrow(write, STORE_SCHEMA).write.parquet(path)
+    ordered = own.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), key).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), key, "text")
+    write_out(arrow_map(ordered, write, STORE_SCHEMA), path)
     return path
 
 
@@ -187,7 +187,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                     [pa.array(r["doc_ids"], pa.int64()), pa.array(starts + base, pa.int64()), pa.array(r["lengths"], pa.int64()), pa.array([ids[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)], pa.binary())],
                     ["doc_id", "start", "n_tokens", "ids"])
 
-    return spark.read.schema(STORE_SCHEMA).parquet(path).mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return arrow_map(spark.read.schema(STORE_SCHEMA).parquet(path), read, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def read_ids(spark: SparkSession, path: str, start: int, length: int) -> np.ndarray:
@@ -204,10 +204,6 @@ def read_ids(spark: SparkSession, path: str, start: int, length: int) -> np.ndar
     return np.concatenate([x for _, x in sorted(found, key=lambda f: f[0])] or [np.zeros(0, np.uint32)])
 
 
-def crc32_of(ids: bytes) -> int:
-    return zlib.crc32(ids)
-
-
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, decoded from the files."""
     offsets = part_offsets(spark, path)
@@ -223,4 +219,4 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
                     [pa.array(r["doc_ids"], pa.int64()), pa.array(starts + base, pa.int64()), pa.array(r["lengths"], pa.int64()), pa.array([zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(starts, ends, strict=True)], pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return spark.read.schema(STORE_SCHEMA).parquet(path).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return arrow_map(spark.read.schema(STORE_SCHEMA).parquet(path), read, "doc_id long, start long, n_tokens long, ids_crc32 long")
