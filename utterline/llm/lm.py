@@ -33,9 +33,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from dataclasses import dataclass
 from pathlib import Path
@@ -46,7 +43,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, doc_hash_column, part_of, pieces, stage, task_id
+from .common import arrow_map, doc_hash_column, mark, part_of, pieces, release, stage, task_id
 
 HEAD, STEPS, HASHES = 1 << 17, 2, 6
 #: Weights of the shorter n-gram, picked on held-out sample texts.
@@ -199,34 +196,39 @@ def segment_of(ids: np.ndarray, segments: int) -> np.ndarray:
     return ((ids >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
 
 
-def places(ids: np.ndarray, level: int, bits: np.ndarray | int, hashes: int = HASHES):
-    """The bit numbers of (id, level) within a segment of ``bits`` bits, one array for each hash."""
+def places(ids: np.ndarray, level: int, blocks: np.ndarray | int, hashes: int = HASHES):
+    """The bit numbers of (id, level) within a segment of ``blocks`` times 512 bits, one array for each hash.
+
+    Four levels in turn lie in one block, which is one line of the processor's cache.
+    """
+    group = (level - 1) // 4
     with np.errstate(over="ignore"):
-        h = _mixed((ids & _LOW48) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1))
-        step = _mixed(h) | np.uint64(1)
+        h = _mixed((ids & _LOW48) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(group * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1))
+        block = ((h >> np.uint64(32)) * np.asarray(blocks).astype(np.uint64) >> np.uint64(32)) << np.uint64(9)
         for k in range(hashes):
-            yield ((h + np.uint64(k) * step) >> np.uint64(32)) * np.asarray(bits).astype(np.uint64) >> np.uint64(32)
+            if k % 7 == 0:
+                h = _mixed(h + np.uint64(level * 0x165667B19E3779F9 & (1 << 64) - 1))
+            yield block + ((h >> np.uint64(9 * (k % 7))) & np.uint64(511))
 
 
 def segment_bits(ids: np.ndarray, counts: np.ndarray, hashes: int = HASHES) -> np.ndarray:
-    """The bytes of a segment with these ids and counts: 1.5 bits for each hash of each entry, a multiple of 64 in all."""
+    """The bytes of a segment with these ids and counts: 1.5 bits for each hash of each entry, in blocks of 64 bytes."""
     level = levels(counts)
-    bits = max(1, -(-int(level.sum()) * hashes * 3 // 128)) * 64
-    out = np.zeros(bits, bool)
+    blocks = max(1, -(-int(level.sum()) * hashes * 3 // 1024))
+    out = np.zeros(512 * blocks, bool)
     for x in range(1, int(level.max(initial=0)) + 1):
         ids, level = ids[level >= x], level[level >= x]
-        for p in places(ids, x, bits, hashes):
+        for p in places(ids, x, blocks, hashes):
             out[p] = True
     return np.packbits(out, bitorder="little")
 
 
-def probe(ids: np.ndarray, cells: np.ndarray, first: np.ndarray, bits: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+def probe(ids: np.ndarray, cells: np.ndarray, first: np.ndarray, blocks: np.ndarray, hashes: int = HASHES) -> np.ndarray:
     """Levels of ids whose segments begin at byte ``first`` of ``cells``: probes of 1, 2, ... until one is missing."""
-    out, left, q = np.zeros(len(ids), np.int64), np.arange(len(ids)), 1
+    out, left, q = np.zeros(len(ids), np.int64), np.flatnonzero(blocks), 1
     while len(left) and q <= 64 * STEPS:
-        at, own, wide = first[left], ids[left], bits[left]
-        there = wide > 0
-        for p in places(own, q, wide, hashes):
+        at, there = first[left], np.ones(len(left), bool)
+        for p in places(ids[left], q, blocks[left], hashes):
             there &= (cells[at + (p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 > 0
         left = left[there]
         out[left] = q
@@ -259,7 +261,7 @@ class Filter:
         ids = filter_ids(keys)
         own = segment_of(ids, self.segments)
         first = np.concatenate([[0], self.ends[:-1]])[own]
-        return probe(ids, self._cells, first, 8 * (self.ends[own] - first), self.hashes)
+        return probe(ids, self._cells, first, (self.ends[own] - first) // 64, self.hashes)
 
 
 def _packed(ids: np.ndarray) -> bytes:
@@ -338,6 +340,7 @@ def build_filter(rows: DataFrame, hashes: int = HASHES, broadcast: int = BROADCA
 
     sent = arrow_map(rows.select("text"), send, "segment int, once binary, more binary, counts binary")
     dealt = sent.repartition(max(part_of(rows), -(-segments // 64)), "segment").sortWithinPartitions("segment")
+    since = mark()
     table = stage(arrow_map(dealt, build, "segment int, bits binary"), "filter", "uncompressed")
     ends = np.zeros(segments, np.int64)
     for r in table.select("segment", F.octet_length("bits").alias("n")).toLocalIterator():
@@ -345,15 +348,15 @@ def build_filter(rows: DataFrame, hashes: int = HASHES, broadcast: int = BROADCA
     ends = np.cumsum(ends)
     if ends[-1] > broadcast:
         return Filter(ends, hashes, table=table)
-    root = Path(tempfile.mkdtemp(prefix="utterline-filter-"))
-    atexit.register(shutil.rmtree, root, ignore_errors=True)
-    path = root / f"filter-{uuid.uuid4().hex}"
+    # written where the driver's own copy of an added file would go, so there is one
+    path = Path(SparkFiles.getRootDirectory()) / f"filter-{uuid.uuid4().hex}"
     with path.open("wb") as f:
         f.truncate(int(ends[-1]))
         for r in table.toLocalIterator():
             f.seek(int(ends[r["segment"]]) - len(r["bits"]))
             f.write(r["bits"])
     spark.sparkContext.addFile(str(path))
+    release(since)
     return Filter(ends, hashes, name=path.name)
 
 
@@ -588,7 +591,7 @@ def _by_segments(own: DataFrame, model: Model, shared) -> DataFrame:
                 ids = np.frombuffer(payload, np.uint64)
                 own = segment_of(ids, len(ends))
                 first = np.concatenate([[0], ends[:-1]])[own]
-                level = probe(ids, cells, first - begin, 8 * (ends[own] - first), hashes)
+                level = probe(ids, cells, first - begin, (ends[own] - first) // 64, hashes)
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([who], pa.int32()), pa.array([level.astype(np.uint8).tobytes()], pa.binary())], ["chunk", "shard", "levels"])
 
     layout = "shard int, kind int, at long, payload binary"
