@@ -51,11 +51,12 @@ PAIR, TRIPLE = 400.0, 4.0
 #: Bytes of text whose keys make one segment, of a filter that is broadcast, and of segments probed at once.
 SEGMENT_TEXT, BROADCAST, SHARD = 4 << 20, 512 << 20, 16 << 20
 #: Keys that a task counts before it sends them, tokens scored and bytes hashed at once.
-AT_ONCE, TURN, CHUNK = 4 << 20, 1 << 18, 1 << 20
+AT_ONCE, TURN, CHUNK = 3 << 20, 1 << 18, 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _END, _START = np.uint64(1), np.uint64(0)  # a word's hash is neither
-_LOW48 = np.uint64((1 << 48) - 1)
+#: A segment has some two million keys at any size of the corpus, so two of them agree in 40 bits with a probability of 2e-6.
+_LOW40 = np.uint64((1 << 40) - 1)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -188,7 +189,7 @@ def level_counts(level: np.ndarray, steps: int = STEPS) -> np.ndarray:
 
 
 def filter_ids(keys: np.ndarray) -> np.ndarray:
-    """What the filter knows a key by: its upper half picks the segment, its lower 48 bits the places."""
+    """What the filter knows a key by: its upper half picks the segment, its lower 40 bits the places."""
     return _mixed(keys)
 
 
@@ -203,7 +204,7 @@ def places(ids: np.ndarray, level: int, blocks: np.ndarray | int, hashes: int =
     """
     group = (level - 1) // 4
     with np.errstate(over="ignore"):
-        h = _mixed((ids & _LOW48) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(group * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1))
+        h = _mixed((ids & _LOW40) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(group * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1))
         block = ((h >> np.uint64(32)) * np.asarray(blocks).astype(np.uint64) >> np.uint64(32)) << np.uint64(9)
         for k in range(hashes):
             if k % 7 == 0:
@@ -265,12 +266,12 @@ class Filter:
 
 
 def _packed(ids: np.ndarray) -> bytes:
-    return np.ascontiguousarray(ids.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    return np.ascontiguousarray(ids.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
     return out.view("<u8").ravel()
 
 
@@ -297,7 +298,7 @@ def build_filter(rows: DataFrame, hashes: int = HASHES, broadcast: int = BROADCA
         held, size = [], 0
 
         def give():
-            ids, n = np.unique(np.concatenate([filter_ids(k) for k in held]), return_counts=True)  # ordered, so by segment
+            ids, n = np.unique(np.concatenate(held), return_counts=True)  # ordered, so by segment
             cuts = np.searchsorted(segment_of(ids, segments), np.arange(segments + 1))
             own = [(i, ids[a:b], n[a:b]) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
             held.clear()
@@ -309,7 +310,7 @@ def build_filter(rows: DataFrame, hashes: int = HASHES, broadcast: int = BROADCA
         for batch in batches:
             for piece in pieces(batch, most_bytes=2 << 20):
                 for keys in _keys(*tokens(piece.column("text"))):
-                    held.append(keys)
+                    held.append(filter_ids(keys))
                     size += len(keys)
                     if size >= most_keys:
                         yield from give()
@@ -321,7 +322,7 @@ def build_filter(rows: DataFrame, hashes: int = HASHES, broadcast: int = BROADCA
         at, held = None, []
 
         def give():
-            parts = [(_unpacked(once), np.ones(len(once) // 6, np.int64)) for once, _, _ in held] + [(_unpacked(more), np.frombuffer(n, "<u4").astype(np.int64)) for _, more, n in held]
+            parts = [(_unpacked(once), np.ones(len(once) // 5, np.int64)) for once, _, _ in held] + [(_unpacked(more), np.frombuffer(n, "<u4").astype(np.int64)) for _, more, n in held]
             ids, n = (np.concatenate(c) for c in zip(*parts, strict=True))
             held.clear()
             by = np.argsort(ids)
