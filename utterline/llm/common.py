@@ -101,17 +101,18 @@ def release(since: int = 0) -> None:
             return
 
 
-def hot_join(many: DataFrame, one: DataFrame, keys: list[str], count: str, total: int | None = None) -> DataFrame:
+def hot_join(many: DataFrame, one: DataFrame, keys: list[str], count: str, sizes: tuple[int, int] | None = None) -> DataFrame:
     """Inner join of ``many`` to ``one``, which has one row for each key and, in ``count``, how many rows of ``many`` have it.
 
     A hot key (see HOT) would fill one task; its row is broadcast instead, and there are at most HOT such rows, whatever the input.
+    ``sizes``, if known, are the sum and the greatest of the counts; without a hot key this is a plain join.
     """
-    if total is None:
-        total = one.agg(F.sum(count)).first()[0] or 0
-    hot = F.col(count) > max(LEAST_HOT, total // HOT)
-    few = one.where(hot)
-    rest = many.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(one.where(~hot), keys)
-    return rest.unionByName(many.join(F.broadcast(few), keys))
+    total, most = sizes or one.agg(F.sum(count), F.max(count)).first()
+    least = max(LEAST_HOT, (total or 0) // HOT)
+    if (most or 0) <= least:
+        return many.join(one, keys)
+    few, rest = one.where(F.col(count) > least), one.where(F.col(count) <= least)
+    return many.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(rest, keys).unionByName(many.join(F.broadcast(few), keys))
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:

@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from .common import hot_join, stage
 
 
-def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def _star(edges: DataFrame, large: bool, sizes: tuple[int, int]) -> DataFrame:
     """Each node's larger (or, with itself, smaller) neighbours are linked to its least neighbour.
 
     Least neighbours come from a map-side minimum, and a hub meets its edges in ``hot_join``, so a hub's edges are never gathered.
     """
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both if large else both.where("b < a")
+    near = _both(edges) if large else _both(edges).where("b < a")
     least = near.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-    linked = hot_join(near, least, ["a"], "n", total)
+    linked = hot_join(near, least, ["a"], "n", sizes)
     out = linked.where("b > a" if large else "b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:
         out = out.unionByName(least.select("a", F.col("m").alias("b")))
@@ -28,12 +31,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     now = stage(edges.select(F.greatest(a, b).cast("long").alias("a"), F.least(a, b).cast("long").alias("b")).where("a <> b").distinct(), "edges")
     mark = None
     for _ in range(most_rounds):
-        # done when every node has one edge and no node is both a leaf and a hub
-        size = now.agg(F.count("*").alias("n"), F.sum(F.col("b").cast("decimal(38,0)")).alias("s"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("h")).first()
+        # settled when a round changes no edge. No node has more smaller neighbours after a large star than it had neighbours before
+        each = _both(now).groupBy("a").agg(F.count("*").alias("n"), F.sum(F.xxhash64(F.greatest("a", "b"), F.least("a", "b")) % 1_000_003).alias("h"))
+        size = each.agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum(F.col("h").cast("decimal(38,0)")).alias("h"), F.sum((F.xxhash64("a") % 1_000_003 * F.col("n")).cast("decimal(38,0)")).alias("k")).first()
         if size == mark or not size["n"]:
             break
         mark = size
-        now = stage(_star(_star(now, True, 2 * size["n"]), False, 2 * size["n"]), "edges")
+        sizes = (size["n"], size["most"])
+        now = stage(_star(_star(now, True, sizes), False, sizes), "edges")
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

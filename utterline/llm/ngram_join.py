@@ -245,7 +245,7 @@ def candidates(classes: DataFrame, threshold: float, values: int) -> DataFrame:
     opened = classes.select("cls", F.explode("bands").alias("band"))
     found = None
     for at in range(ROUNDS + 1):
-        hubs = opened.groupBy("band").agg(F.min("cls").alias("hub"), F.count("*").alias("size")).where("size > 1")
+        hubs = stage(opened.groupBy("band").agg(F.min("cls").alias("hub"), F.count("*").alias("size")).where("size > 1"), "hubs")
         met = hot_join(opened, hubs, ["band"], "size").where("cls <> hub")
         if at == ROUNDS:  # buckets that no hub settles
             return found.unionByName(met.select(F.col("cls").alias("a"), F.col("hub").alias("b")))

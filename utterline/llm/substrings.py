@@ -42,10 +42,10 @@ from .common import arrow_map, fresh, part_of, stage
 LENGTH = 100
 TRIGGER = 32
 #: Text bytes hashed at once, and settled against each other before anything is sent.
-CHUNK = 2 << 20
-SETTLE = 16 << 20
+CHUNK = 1 << 20
+SETTLE = 8 << 20
 #: Distinct phrases of a trigger from which its suffixes are dealt one by one, and phrase bytes that are ordered at once.
-HOT, ORDERED = 2048, 4 << 20
+HOT, ORDERED = 2048, 1 << 20
 COUNTS = ("n_bytes", "n_removed", "n_spans")
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
