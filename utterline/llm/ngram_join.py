@@ -45,7 +45,7 @@ N, THRESHOLD, RECALL = 5, 0.8, 0.9995
 HASHES, BLOCK = 160, 256
 #: Hubs that a bucket tries, and how far sketches may err: a sketch of 156 values is 0.04 off (one deviation) at 0.6, where a link begins
 #: to matter at the threshold of 0.8, and 0.03 at 0.8 itself. A class that is wrongly taken for close still has its partners linked.
-ROUNDS, LINK_SLACK, CLOSE_SLACK = 2, 0.2, 0.1
+ROUNDS, LINK_SLACK, CLOSE_SLACK = 1, 0.2, 0.1
 #: Bytes of n-grams in a side of a verification block, about.
 BLOCK_BYTES = 32 << 20
 _WORD = re.compile(r"[^\W_]+")
