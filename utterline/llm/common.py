@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -115,10 +116,26 @@ def hot_join(many: DataFrame, one: DataFrame, keys: list[str], count: str, sizes
     return many.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(rest, keys).unionByName(many.join(F.broadcast(few), keys))
 
 
+def give_back() -> None:
+    """Return freed memory to the machine: a worker is reused, and what one task needed at most would stay with it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` with this package on the workers."""
+    """``mapInArrow`` with this package on the workers, which give memory back when a task ends."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def fresh(name: str, *taken) -> str:
@@ -184,7 +201,7 @@ class Generations(dict):
     _all: weakref.WeakValueDictionary = weakref.WeakValueDictionary()
     _user: str | None = None
 
-    def __init__(self, make: Callable, size: int = 24 << 20, longest: int = 256):
+    def __init__(self, make: Callable, size: int = 12 << 20, longest: int = 256):
         super().__init__()
         self.make, self.size, self.longest, self.old, self.user, self.held = make, size, longest, {}, make.__module__, 0
         Generations._all[id(self)] = self
@@ -212,4 +229,4 @@ class Generations(dict):
                 other.clear()
                 other.old, other.held = {}, 0
         Generations._user = self.user
-        pa.default_memory_pool().release_unused()
+        give_back()
