@@ -79,9 +79,9 @@ class BytePairs:
         self.lookahead = self._lookahead()
         self.longest = max(map(len, self.bytes_of.values()))
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words = Generations(self._word, size)  # a pre-token without its leading blank matters: both are keys here
-        self.after = Generations(self._after, size)  # chunks that follow one blank
-        self.first = Generations(self._chunk, size // 4)  # chunks that begin a line
+        self.words = Generations(self._word, (__name__,), size)  # a pre-token without its leading blank matters: both are keys here
+        self.after = Generations(self._after, (__name__,), size)  # chunks that follow one blank
+        self.first = Generations(self._chunk, (__name__,), size // 4)  # chunks that begin a line
 
     def _lookahead(self) -> int:
         """Bytes by which a boundary must precede the end of what was read to be final."""

@@ -130,6 +130,7 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     ship(df.sparkSession)
 
     def run(batches):
+        Generations.enter(fn.__module__)
         try:
             yield from fn(batches)
         finally:
@@ -194,16 +195,16 @@ class Generations(dict):
     """A mapping that fills itself through ``make`` and keeps at most two generations of ``size`` bytes each, estimated.
 
     Values are numbers, tuples of them or bytes. It lives in a reused Python worker, so its bound is per worker, whatever the input's size. Keys of over
-    ``longest`` characters are made anew each time. When the maps of another module come into use, those of the module before are
-    emptied: a worker that serves several operators holds one's maps.
+    ``longest`` characters are made anew each time. When a task of another module begins, the maps are emptied: a worker that serves
+    several operators holds one's maps.
     """
 
     _all: weakref.WeakValueDictionary = weakref.WeakValueDictionary()
     _user: str | None = None
 
-    def __init__(self, make: Callable, size: int = 12 << 20, longest: int = 256):
+    def __init__(self, make: Callable, users: tuple[str, ...], size: int = 12 << 20, longest: int = 256):
         super().__init__()
-        self.make, self.size, self.longest, self.old, self.user, self.held = make, size, longest, {}, make.__module__, 0
+        self.make, self.users, self.size, self.longest, self.old, self.held = make, users, size, longest, {}, 0
         Generations._all[id(self)] = self
 
     def __missing__(self, key):
@@ -214,8 +215,6 @@ class Generations(dict):
         return value
 
     def put(self, key, value) -> None:
-        if Generations._user != self.user:
-            self._take_over()
         if self.held >= self.size:
             self.old = dict(self)
             self.clear()
@@ -223,10 +222,14 @@ class Generations(dict):
         self[key] = value
         self.held += 190 + len(key) + (len(value) if isinstance(value, bytes) else 8 * len(value) if isinstance(value, tuple) else 0)  # objects and table slots
 
-    def _take_over(self) -> None:
-        for other in list(Generations._all.values()):
-            if other.user != self.user:
+    @classmethod
+    def enter(cls, user: str) -> None:
+        """Empty the maps that the module ``user`` doesn't use."""
+        if cls._user == user:
+            return
+        for other in list(cls._all.values()):
+            if user not in other.users:
                 other.clear()
                 other.old, other.held = {}, 0
-        Generations._user = self.user
+        cls._user = user
         give_back()

@@ -5,40 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, stage
+from .common import stage
 
 
 def _both(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _star(edges: DataFrame, large: bool, sizes: tuple[int, int]) -> DataFrame:
+def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Each node's larger (or, with itself, smaller) neighbours are linked to its least neighbour.
 
-    Least neighbours come from a map-side minimum, and a hub meets its edges in ``hot_join``, so a hub's edges are never gathered.
+    Least neighbours come from a map-side minimum and are staged, so that Spark's adaptive skew join can deal a hub's edges over tasks:
+    an aggregate right below the join would keep it from that.
     """
     near = _both(edges) if large else _both(edges).where("b < a")
-    least = near.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-    linked = hot_join(near, least, ["a"], "n", sizes)
-    out = linked.where("b > a" if large else "b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = stage(near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+    out = near.join(least, "a").where("b > a" if large else "b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:
         out = out.unionByName(least.select("a", F.col("m").alias("b")))
     return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Every node has one smaller neighbour and no larger one, or larger ones alone."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").count() == 0
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """node, component (its least node) of every node with an edge to another. Null ends are ignored."""
     now = stage(edges.select(F.greatest(a, b).cast("long").alias("a"), F.least(a, b).cast("long").alias("b")).where("a <> b").distinct(), "edges")
-    mark = None
     for _ in range(most_rounds):
-        # settled when a round changes no edge. No node has more smaller neighbours after a large star than it had neighbours before
-        each = _both(now).groupBy("a").agg(F.count("*").alias("n"), F.sum(F.xxhash64(F.greatest("a", "b"), F.least("a", "b")) % 1_000_003).alias("h"))
-        size = each.agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum(F.col("h").cast("decimal(38,0)")).alias("h"), F.sum((F.xxhash64("a") % 1_000_003 * F.col("n")).cast("decimal(38,0)")).alias("k")).first()
-        if size == mark or not size["n"]:
-            break
-        mark = size
-        sizes = (size["n"], size["most"])
-        now = stage(_star(_star(now, True, sizes), False, sizes), "edges")
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        if _settled(now):
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        now = stage(_star(stage(_star(now, True), "edges"), False), "edges")
+    raise RuntimeError("components did not settle")

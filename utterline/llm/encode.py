@@ -43,7 +43,7 @@ class ChunkEncoder(Generations):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__(self._ids, size)
+        super().__init__(self._ids, ("utterline.llm.packing", "utterline.llm.token_store"), size)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()

@@ -18,7 +18,8 @@ copy of n words may differ in about n / 50 words; copies that differ more are no
    to and the least class it hangs together with. Pairs are never emitted.
 5. Classes that links join are one group; its id is the least doc_id.
 
-Hot buckets, hubs and classes are joined by ``hot_join``: no key fills a task.
+Buckets, hubs, components and classes that hold a large share of the rows are joined to staged tables of one row a key, where
+Spark's adaptive skew join deals a hot key's rows over tasks (an aggregate right below a join would keep it from that).
 
 Nulls: null and empty texts get their own doc_id as class_id and no links. Documents with a null doc_id take no part
 and get a null class_id. Rows that repeat a doc_id with the same text are copies (counted as links); rows that share a doc_id
@@ -37,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Generations, arrow_map, fresh, hot_join, pieces, stage, texts_of
+from .common import Generations, arrow_map, fresh, pieces, stage, texts_of
 from .components import components
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9995
@@ -71,7 +72,7 @@ _WORDS: list[Generations] = []
 
 def _word_hash() -> Generations:
     if not _WORDS:
-        _WORDS.append(Generations(lambda w: xxhash.xxh3_64_intdigest(w.encode())))
+        _WORDS.append(Generations(lambda w: xxhash.xxh3_64_intdigest(w.encode()), (__name__,)))
     return _WORDS[0]
 
 
@@ -246,17 +247,16 @@ def candidates(classes: DataFrame, threshold: float, values: int) -> DataFrame:
     found = None
     for at in range(ROUNDS + 1):
         hubs = stage(opened.groupBy("band").agg(F.min("cls").alias("hub"), F.count("*").alias("size")).where("size > 1"), "hubs")
-        met = hot_join(opened, hubs, ["band"], "size").where("cls <> hub")
+        met = opened.join(hubs, "band").where("cls <> hub")
         if at == ROUNDS:  # buckets that no hub settles
             return found.unionByName(met.select(F.col("cls").alias("a"), F.col("hub").alias("b")))
         met = stage(met, "buckets")
-        pairs = met.select("cls", "hub").distinct()
-        hub_sketch = pairs.groupBy("hub").agg(F.count("*").alias("n")).join(sketches.withColumnsRenamed({"cls": "hub", "sketch": "hub_sketch"}), "hub")
-        close = stage(hot_join(pairs.join(sketches, "cls"), hub_sketch, ["hub"], "n").select("cls", "hub", similarity(F.col("sketch"), F.col("hub_sketch"), values).alias("near")), "near")
+        pairs = met.select("cls", "hub").distinct().join(sketches, "cls").join(sketches.withColumnsRenamed({"cls": "hub", "sketch": "hub_sketch"}), "hub")
+        close = stage(pairs.select("cls", "hub", similarity(F.col("sketch"), F.col("hub_sketch"), values).alias("near")), "near")
         kept = close.where(F.col("near") >= link).select(F.col("cls").alias("a"), F.col("hub").alias("b"))
         found = kept if found is None else found.unionByName(kept)
         opened = stage(met.where("size > 2").join(close.where(F.col("near") < close_from), ["cls", "hub"]).select("cls", "band"), "open")
-        if opened.isEmpty():
+        if not opened.count():
             return found
     return found
 
@@ -291,22 +291,22 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
 
     wanted = found.withColumnRenamed("node", "cls").join(classes.select("cls", "copies", F.col("rep").alias("doc_id"), *key), "cls")
     sets = stage(_gram_sets(own, wanted.select("cls", "doc_id", "key1", "key2"), n), "grams")
-    sizes = wanted.groupBy("component").agg(F.count("*").alias("size"), F.sum(8 * F.col("n_grams")).alias("bytes"))
+    sizes = stage(wanted.groupBy("component").agg(F.count("*").alias("size"), F.sum(8 * F.col("n_grams")).alias("bytes")), "sizes")
     # chunk c of a component is the left side of blocks (c, j) and the right side of blocks (i, c)
     k = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    dealt = hot_join(wanted, sizes, ["component"], "size").withColumn("k", k).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"))
+    dealt = wanted.join(sizes, "component").withColumn("k", k).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least("chunk", j).alias("bi"), F.greatest("chunk", j).alias("bj"), F.when(j < F.col("chunk"), 1).otherwise(0).alias("side")))
     placed = sets.join(dealt.select("cls", "component", "copies", cells.alias("cells")), "cls").select("component", "copies", "cls", F.explode("cells").alias("c"), "grams")
     checked = stage(verify(placed.select("component", "c.bi", "c.bj", "c.side", "cls", "copies", "grams"), threshold), "links")
 
     links = checked.groupBy("cls").agg(F.sum("links").alias("links"))
     joined = stage(components(checked.select("cls", "least").where("cls <> least"), "cls", "least").withColumnRenamed("node", "cls").join(classes.select("cls", "rep"), "cls"), "groups")
-    least = joined.groupBy("component").agg(F.min("rep").alias("class_id"), F.count("*").alias("n"))
-    joined = hot_join(joined, least, ["component"], "n").select("cls", "class_id")
+    least = stage(joined.groupBy("component").agg(F.min("rep").alias("class_id")), "least")
+    joined = joined.join(least, "component").select("cls", "class_id")
     per_class = classes.join(links, "cls", "left").join(joined, "cls", "left").select(*key, "copies", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     alone = sig.where("n_grams = 0 OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     per_class = stage(per_class, "per_class")
-    return hot_join(usable.select("doc_id", *key), per_class, key, "copies").select("doc_id", "class_id", "n_links", F.col("copies").alias("n_copies")).unionByName(alone)
+    return usable.select("doc_id", *key).join(per_class, key).select("doc_id", "class_id", "n_links", F.col("copies").alias("n_copies")).unionByName(alone)
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
@@ -320,8 +320,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     found = join(marked.select(F.col(row).alias("doc_id"), "text"), **options).where("doc_id IS NOT NULL").withColumnRenamed("doc_id", row)
     found = stage(found.groupBy(row, "class_id").agg(F.count("*").alias("times"), F.max("n_copies").alias("copies")), "rows")
     ids = marked.where(F.col(row).isNotNull()).select(F.col("doc_id").cast("long").alias("own"), row).distinct()
-    first = found.join(ids, row).groupBy("class_id").agg(F.min(F.struct("own", row)).alias("first"), F.count("*").alias("n"))
-    later = stage(hot_join(found, first, ["class_id"], "n").where(F.col(row) != F.col("first")[row]).select(row), "later")
+    first = found.join(ids, row).groupBy("class_id").agg(F.min(F.struct("own", row)).alias("first"))
+    later = stage(found.join(stage(first, "first"), "class_id").where(F.col(row) != F.col("first")[row]).select(row), "later")
     kept = marked.join(later, row, "left_anti")
     repeated = found.where("times > 1 AND copies > 1").select(row)  # a document without words has one copy
     if not repeated.isEmpty():

@@ -59,7 +59,7 @@ _STATE: dict = {}
 
 def _tables() -> dict:
     if not _STATE:
-        _STATE.update(words=_ternary(WORDS, 1), forms=_ternary(FORMS, 2), units=Generations(_unit), line_again=_bucket("line again", FORMS), word_again=_bucket("word again", FORMS))
+        _STATE.update(words=_ternary(WORDS, 1), forms=_ternary(FORMS, 2), units=Generations(_unit, (__name__,)), line_again=_bucket("line again", FORMS), word_again=_bucket("word again", FORMS))
     return _STATE
 
 

@@ -42,7 +42,7 @@ from .common import arrow_map, fresh, part_of, stage
 LENGTH = 100
 TRIGGER = 32
 #: Text bytes hashed at once, and settled against each other before anything is sent.
-CHUNK = 1 << 20
+CHUNK = 768 << 10
 SETTLE = 8 << 20
 #: Distinct phrases of a trigger from which its suffixes are dealt one by one, and phrase bytes that are ordered at once.
 HOT, ORDERED = 2048, 1 << 20
@@ -407,7 +407,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, most:
     rows = arrow_map(asked.select("doc_id", "tie", "text", "several"), _phrase_bytes(length), _PHRASES)
     ordered = rows.repartition(part_of(docs), "key").sortWithinPartitions("key", "doc_id", "tie", "first")
     found = [first.where("kind = 0"), stage(arrow_map(ordered, _dictionary(length), "doc_id long, tie int, span long"), "suffixes", "zstd")]
-    if not first.where("kind = 2").isEmpty():
+    if first.where("kind = 2").count():
         dealt = arrow_map(asked.where(F.size("hot") > 0).select("doc_id", "tie", "text", "hot"), lambda b: _settled(b, suffixes, length), _ROWS)
         found.append(stage(_level(dealt, most).where("kind = 0"), "hot", "zstd"))
     return _spans(reduce(DataFrame.unionByName, [f.select("doc_id", "tie", "span") for f in found]))
