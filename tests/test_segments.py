@@ -37,9 +37,65 @@ def test_centroids_have_length_one(spark):
     assert got["a"] == pytest.approx([0.6, 0.8]) and got["z"] == [0.0, 0.0]
 
 
-def test_dwell_absorbs_short_runs():
-    assert segments.min_dwell(np.array([0, 0, 0, 1, 2, 2]), np.full(6, 0.5)).tolist() == [0, 0, 0, 0, 2, 2]
-    assert segments.min_dwell(np.array([1]), np.array([0.1])).tolist() == [1]
+def _plain_dwell(labels, start, end, least=1.0):
+    """One run after the other, as the rule says it."""
+    y = list(labels)
+    for _ in range(5):
+        runs, changed = [], False
+        for i, v in enumerate(y):
+            if runs and runs[-1][0] == v:
+                runs[-1][2] = i
+            else:
+                runs.append([v, i, i])
+        length = [end[b] - start[a] for _, a, b in runs]
+        for k, (_, a, b) in enumerate(runs):
+            if len(runs) > 1 and length[k] < least - 1e-6:
+                before = length[k - 1] if k else -1.0
+                after = length[k + 1] if k + 1 < len(runs) else -1.0
+                y[a : b + 1] = [y[a - 1] if before >= after else y[b + 1]] * (b + 1 - a)
+                changed = True
+        if not changed:
+            break
+    return y
+
+
+def test_dwell_goes_from_left_to_right(spark):
+    at = np.arange(6) * 0.5
+    assert segments.min_dwell(np.array([0, 0, 0, 1, 2, 2]), at, at + 0.5).tolist() == [0, 0, 0, 0, 2, 2]
+    assert segments.min_dwell(np.array([1]), np.array([0.0]), np.array([0.1])).tolist() == [1]
+    rng = np.random.default_rng(7)
+    rows = []
+    for g in range(60):
+        n = int(rng.integers(1, 25))
+        start = np.cumsum(rng.random(n) * 0.5)
+        end = start + rng.random(n) * 0.9
+        labels = rng.integers(0, 3, n)
+        assert segments.min_dwell(labels, start, end).tolist() == _plain_dwell(labels.tolist(), start, end)
+        rows += [(g, i, int(x), float(a), float(b)) for i, (x, a, b) in enumerate(zip(labels, start, end, strict=True))]
+    got = {(r.g, r.i): r.x for r in segments.enforce_dwell(spark.createDataFrame(rows, "g int, i int, x int, start double, end double"), "g", "i", "x").collect()}
+    for g in range(60):
+        own = [r for r in rows if r[0] == g]
+        assert [got[g, r[1]] for r in own] == _plain_dwell([r[2] for r in own], [r[3] for r in own], [r[4] for r in own])
+
+
+def test_small_margins_keep_the_label():
+    scores = np.array([[0.9, 0.1], [0.5, 0.49], [0.1, 0.9], [0.5, 0.51]])
+    assert segments.keep_on_small_margin(np.array([0, 1, 1, 0]), scores).tolist() == [0, 0, 1, 1]
+
+
+def test_an_empty_label_gets_the_farthest_vector(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.2]), (0, [0.0, 5.0])], "label int, e array<double>")
+    got = {r.label: r.centroid for r in segments.centroids(df, "label", "e", [0, 1]).collect()}
+    assert got[1] == pytest.approx([0.0, 1.0]) and len(got) == 2
+
+
+def test_numbers_lines_and_rounding(spark, spans):
+    from pyspark.sql import functions as F
+
+    assert sorted(r.phrase_id for r in segments.phrase_numbers(spans, "file").collect()) == [1, 2, 3, 4]
+    assert sorted((r.start, r.text) for r in segments.transcript_lines(spans, "file", "speaker", "text").collect()) == [(0.0, "x y"), (2.0, "z")]
+    a, b = segments.round_out(F.lit(0.12), F.lit(0.31))
+    assert tuple(spark.range(1).select(a, b).first()) == (0.1, 0.35)
 
 
 def test_upsert_update_delete_and_action(spark):

@@ -7,6 +7,10 @@ from collections.abc import Collection, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import rules as R
+from .jsons import repair
+from .text import present
+
 #: Flags that hold only for a JSON true; the others hold for anything that isn't empty, zero or false. Field names of the answer are fixed values.
 STRICT = {"obj_detected": "$.objection.detected", "wrap_up": "$.wrap_up"}
 LOOSE = {"obj_ack": "$.objection.handling.acknowledge", "obj_sol": "$.objection.handling.solution", "obj_check": "$.objection.handling.check_close",
@@ -51,5 +55,17 @@ def flatten(answer: Column, allowed: Mapping[str, Collection[str]], names: Mappi
     return out | {n: c.cast("int") for n, c in flags.items()}
 
 
-def yes_no(flag: Column, yes: str = "yes", no: str = "no") -> Column:
+def yes_no(flag: Column, yes: str = R.YES, no: str = R.NO) -> Column:
     return F.when(flag > 0, yes).otherwise(no)
+
+
+def report_columns(answer: Column) -> dict[str, Column]:
+    """An answer's 32 report columns, and its items as an array: codes outside their lists are empty, labels and yes or no beside codes and flags."""
+    allowed = {"intent": R.INTENTS, "category": R.CATEGORIES, "availability": list(R.AVAILABILITY), "season": list(R.SEASONS), "obj_type": list(R.OBJECTION_TYPE), "obj_status": list(R.OBJECTION_STATUS), "next_owner": list(R.OWNERS)}
+    flat = flatten(repair(answer), allowed)
+    out = {f"llm_{n}": c for n, c in flat.items() if n != "addon_items"}
+    for n, labels in (("availability", R.AVAILABILITY), ("season", R.SEASONS), ("obj_type", R.OBJECTION_TYPE), ("obj_status", R.OBJECTION_STATUS), ("next_owner", R.OWNERS)):
+        out[f"llm_{n}_ru"] = R.label(flat[n], labels)
+    for n in ("obj_detected", "obj_ack", "obj_sol", "obj_check", "addon_offered", "addon_accepted"):
+        out[f"llm_{n}_text"] = F.when(present(answer), yes_no(flat[n]))
+    return out | {"llm_addon_items_json": F.to_json(flat["addon_items"]), "llm_addon_items": flat["addon_items"]}

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship
+
 #: Sample rate and hop of loudness frames, and the length of a frame. Fixed values.
 RATE, HOP, FRAME = 16_000, 256, 2048
 
@@ -24,9 +26,14 @@ def decode(content: bytes | None) -> tuple[np.ndarray, int]:
             raw = f.readframes(f.getnframes())
     except (wave.Error, EOFError):
         return np.zeros(0, np.float32), 0
-    if width not in (1, 2, 4):
+    if width not in (1, 2, 3, 4):
         return np.zeros(0, np.float32), 0
-    x = np.frombuffer(raw[: len(raw) // (width * channels) * width * channels], {1: "u1", 2: "<i2", 4: "<i4"}[width]).astype(np.float32)
+    raw = raw[: len(raw) // (width * channels) * width * channels]
+    if width == 3:  # as the upper bytes of 32 bits
+        wide = np.zeros((len(raw) // 3, 4), np.uint8)
+        wide[:, 1:] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+        raw, width = wide.tobytes(), 4
+    x = np.frombuffer(raw, {1: "u1", 2: "<i2", 4: "<i4"}[width]).astype(np.float32)
     x = (x - 128) / 128 if width == 1 else x / float(1 << (8 * width - 1))
     return x.reshape(-1, channels).mean(1), rate
 
@@ -107,6 +114,7 @@ def rms_frames(files: DataFrame, rate: int = RATE, hop: int = HOP) -> DataFrame:
                     part = levels[i : i + 100_000]
                     yield pd.DataFrame({"file_name": name, "frame": np.arange(i, i + len(part)), "rms": part})
 
+    ship(files.sparkSession)
     return files.select("file_name", "content").mapInPandas(run, "file_name string, frame long, rms double")
 
 
@@ -125,6 +133,37 @@ def phrase_loudness(frames: DataFrame, phrases: DataFrame, phrase_id: str, rate:
     return phrases.select(phrase_id).join(stats, phrase_id, "left").fillna(0)
 
 
+def cmvn(x: np.ndarray) -> np.ndarray:
+    """Less its mean, over its deviation; by 1 where that is next to nothing."""
+    if not len(x):
+        return x
+    deviation = float(x.std())
+    return ((x - float(x.mean())) / (deviation if np.isfinite(deviation) and deviation >= 1e-6 else 1.0)).astype(np.float32)
+
+
+def less_noise(x: np.ndarray, rate: int, quiet: float = 0.1, keep: float = 0.1, size: int = 1024) -> np.ndarray:
+    """Spectral gating: frequencies near the level that they have in the quietest tenth (``quiet``) of frames are turned down to ``keep``."""
+    if len(x) < 2 * size:
+        return x
+    hop, window = size // 2, np.hanning(size + 1)[:-1].astype(np.float32)
+    frames = np.stack([x[i : i + size] * window for i in range(0, len(x) - size + 1, hop)])
+    spectrum = np.fft.rfft(frames)
+    level = np.abs(spectrum)
+    calm = level[np.argsort(level.sum(axis=1))[: max(1, int(len(frames) * quiet))]].mean(axis=0)
+    out, got = np.zeros(len(x)), np.fft.irfft(spectrum * np.where(level > 1.5 * calm, 1.0, keep), size)
+    for k, f in enumerate(got):
+        out[k * hop : k * hop + size] += f
+    weight = np.zeros(len(x))
+    for k in range(len(frames)):
+        weight[k * hop : k * hop + size] += window
+    return np.where(weight > 0.1, out / np.maximum(weight, 0.1), x).astype(np.float32)
+
+
+def trimmed(x: np.ndarray, rate: int, most: float = 300.0) -> np.ndarray:
+    """The first ``most`` seconds, at the rate that models take."""
+    return resample(x[: int(most * rate)], rate)
+
+
 def normalised(v: Column) -> Column:
     """A vector less its mean, over its deviation; by 1 where that is next to nothing."""
     n = F.size(v)

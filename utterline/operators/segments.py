@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 
 def snap_spans(df: DataFrame, first: float = 0.15, least: float = 0.30) -> DataFrame:
     """Starts no earlier than ``first``; spans shorter than ``least`` go."""
@@ -56,10 +58,21 @@ def first_speakers(df: DataFrame, group: str, speaker: str, window: float = 12.0
     return df.join(named, [group, speaker], "left")
 
 
-def centroids(df: DataFrame, group: str, embedding: str) -> DataFrame:
-    """group, centroid: the mean of a label's vectors, scaled to length 1. Summed by position, so no vectors are collected."""
-    at = df.select(group, F.posexplode(embedding).alias("_i", "_x")).groupBy(group, "_i").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
-    mean = at.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda p: p["_m"]).alias("_v"))
+def centroids(df: DataFrame, group: str, embedding: str, labels: list | None = None) -> DataFrame:
+    """group, centroid: the mean of a label's vectors, scaled to length 1. Summed by position, so no vectors are collected.
+
+    A label of ``labels`` without vectors gets the vector that lies farthest from the mean of all, the least of equals.
+    """
+    at = df.select(group, F.posexplode(embedding).alias("_i", "_x"))
+    whole = lambda d: d.agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda p: p["_m"]).alias("_v"))
+    mean = whole(at.groupBy(group, "_i").agg(F.avg(F.col("_x").cast("double")).alias("_m")).groupBy(group))
+    if labels is not None:
+        middle = whole(at.groupBy("_i").agg(F.avg(F.col("_x").cast("double")).alias("_m")).groupBy())
+        apart = F.aggregate(F.zip_with(embedding, "_v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+        plain = F.transform(embedding, lambda x: x.cast("double"))
+        far = df.join(F.broadcast(middle)).agg(F.min(F.struct((-apart).alias("d"), plain.alias("v")))["v"].alias("_far"))
+        known = df.sparkSession.createDataFrame([(x,) for x in labels], df.select(group).schema)
+        mean = known.join(mean, group, "left").join(F.broadcast(far)).select(group, F.coalesce("_v", "_far").alias("_v"))
     norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x))
     return mean.withColumn("_n", norm).select(group, F.transform("_v", lambda x: F.coalesce(F.try_divide(x, F.col("_n")), F.lit(0.0))).alias("centroid"))
 
@@ -69,34 +82,61 @@ def round_out(start: Column, end: Column, step: float = 0.05) -> tuple[Column, C
     return F.round(F.floor(start / step + 1e-9) * step, 6), F.round(F.ceil(end / step - 1e-9) * step, 6)
 
 
-def min_dwell(labels: np.ndarray, seconds: np.ndarray, least: float = 1.0, passes: int = 5) -> np.ndarray:
-    """Runs shorter than ``least`` take the label of their longer neighbour, the earlier of equals, until none is left or ``passes`` are over."""
+def keep_on_small_margin(labels: np.ndarray, scores: np.ndarray, tau: float = 0.025) -> np.ndarray:
+    """Where the two best scores of a row lie less than ``tau`` apart, the label before goes on."""
+    top = np.sort(scores, axis=1)
     labels = np.array(labels)
+    sure = top[:, -1] - top[:, -2] >= tau if scores.shape[1] > 1 else np.ones(len(labels), bool)
+    if len(labels):
+        sure[0] = True
+    return labels[np.maximum.accumulate(np.where(sure, np.arange(len(labels)), 0))]
+
+
+def min_dwell(labels: np.ndarray, start: np.ndarray, end: np.ndarray, least: float = 1.0, passes: int = 5) -> np.ndarray:
+    """Runs under ``least`` seconds take the label of their longer neighbour, the earlier of equals.
+
+    A pass goes over the runs it begins with from left to right; what a run takes on is seen by those behind it. A run lasts from
+    its first start to its last end. Ends after ``passes`` or when no run is short.
+    """
+    y = np.array(labels)
     for _ in range(passes):
-        cuts = np.flatnonzero(labels[1:] != labels[:-1]) + 1
-        starts, ends = np.r_[0, cuts], np.r_[cuts, len(labels)]
-        length = np.array([seconds[a:b].sum() for a, b in zip(starts, ends, strict=True)])
-        short = np.flatnonzero(length < least)
-        if len(starts) < 2 or not len(short):
+        cuts = np.flatnonzero(y[1:] != y[:-1]) + 1
+        first, last = np.r_[0, cuts], np.r_[cuts, len(y)] - 1
+        if len(first) <= 1:
             break
-        k = int(short[0]) if len(short) == 1 else int(short[length[short].argmin()])
-        before, after = (length[k - 1] if k else -1.0), (length[k + 1] if k + 1 < len(length) else -1.0)
-        labels[starts[k] : ends[k]] = labels[starts[k] - 1] if before >= after else labels[starts[k + 1]]
-    return labels
+        length = end[last] - start[first]
+        short = np.flatnonzero(length < least - 1e-6)
+        for k in short.tolist():
+            before = length[k - 1] if k else -1.0
+            after = length[k + 1] if k + 1 < len(length) else -1.0
+            y[first[k] : last[k] + 1] = y[first[k] - 1] if before >= after else y[last[k] + 1]
+        if not len(short):
+            break
+    return y
 
 
 def enforce_dwell(df: DataFrame, group: str, order: str, label: str, least: float = 1.0) -> DataFrame:
-    """group, order, ``label`` after ``min_dwell`` on the rows' durations (``end`` - ``start``)."""
+    """group, order, ``label`` after ``min_dwell`` on the rows' ``start`` and ``end``."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        labels = min_dwell(pdf[label].to_numpy(), (pdf["end"] - pdf["start"]).to_numpy(float), least, passes=len(pdf))
-        return pd.DataFrame({group: pdf[group], order: pdf[order], label: labels})
+        return pd.DataFrame({group: pdf[group], order: pdf[order], label: min_dwell(pdf[label].to_numpy(), pdf["start"].to_numpy(float), pdf["end"].to_numpy(float), least)})
 
+    ship(df.sparkSession)
     kinds = dict(df.dtypes)
     return df.select(group, order, label, "start", "end").groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {order} {kinds[order]}, {label} {kinds[label]}")
 
 
+def phrase_numbers(df: DataFrame, group: str) -> DataFrame:
+    """Adds ``phrase_id``: the place within the file, from 1."""
+    return df.withColumn("phrase_id", F.row_number().over(W.partitionBy(group).orderBy("start", "end")))
+
+
+def transcript_lines(df: DataFrame, group: str, speaker: str, text: str, gap: float = 0.35, least: float = 0.35) -> DataFrame:
+    """Rows of ``join_adjacent`` without segments under ``least`` seconds."""
+    return join_adjacent(df.where(F.round(F.col("end") - F.col("start"), 9) >= least), group, speaker, text, gap)
+
+
 def two_clusters(x: np.ndarray, least: float = 0.15) -> np.ndarray:
     """Labels 0 and 1 by average linkage on cosine distances; the first row has label 0.
 
@@ -154,5 +194,6 @@ def speaker_clusters(df: DataFrame, group: str, order: str, embedding: str, leas
         pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
         return pd.DataFrame({group: pdf[group], order: pdf[order], "label": two_clusters(np.stack(pdf[embedding].map(np.asarray)), least)})
 
+    ship(df.sparkSession)
     kinds = dict(df.dtypes)
     return df.where(F.col(embedding).isNotNull()).select(group, order, embedding).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {order} {kinds[order]}, label int")

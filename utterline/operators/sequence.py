@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 
 def islands(df: DataFrame, group: str, start: str, end: str, gap: float, label: str | None = None, order: list[str] | None = None) -> DataFrame:
     """Number runs whose gaps are at most ``gap`` (and whose label stays): adds ``island``, from 1."""
@@ -18,9 +22,11 @@ def islands(df: DataFrame, group: str, start: str, end: str, gap: float, label:
     return df.withColumn("_new", new.cast("int")).withColumn("island", F.sum("_new").over(w)).drop("_new")
 
 
-def merge_islands(df: DataFrame, group: str, start: str, end: str, gap: float, label: str | None = None) -> DataFrame:
+def merge_islands(df: DataFrame, group: str, start: str, end: str, gap: float, label: str | None = None, least: float = 0.0) -> DataFrame:
+    """The runs of ``islands`` as rows; those under ``least`` go."""
     keys = [group, "island", *([label] if label else [])]
-    return islands(df, group, start, end, gap, label).groupBy(*keys).agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n_rows"))
+    out = islands(df, group, start, end, gap, label).groupBy(*keys).agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n_rows"))
+    return out.where(F.round(F.col(end) - F.col(start), 9) >= least) if least else out
 
 
 def sliding_windows(df: DataFrame, start: str, end: str, size: float, hop: float, least: float) -> DataFrame:
@@ -31,23 +37,48 @@ def sliding_windows(df: DataFrame, start: str, end: str, size: float, hop: float
     return df.select("*", at).withColumn("window_start", F.round(F.col(start) + F.col("window") * hop, 6)).withColumn("window_end", F.round(F.least(F.col(end), F.col(start) + F.col("window") * hop + size), 6))
 
 
-def overlaps(a: DataFrame, b: DataFrame, key: str, a_id: str) -> DataFrame:
+def slot_width(*sides: DataFrame, share: float = 0.9, least: float = 1.0) -> float:
+    """Seconds that hold ``share`` of the segments of all sides, about, so that hardly any lies in more than two slots."""
+    lengths = reduce(DataFrame.unionByName, [d.select((F.col("end") - F.col("start")).cast("double").alias("n")) for d in sides])
+    return max(least, lengths.agg(F.percentile_approx("n", share, 1000)).first()[0] or least)
+
+
+def overlaps(a: DataFrame, b: DataFrame, key: str, a_id: str, slot: float | None = None, most: int = 64) -> DataFrame:
     """Pairs of rows of ``a`` and ``b`` of one file that overlap, with the ``overlap``. Columns: key, a_id, start, end and key, speaker, start, end.
 
-    Joined on the key and on coarse time slots, so a long file's segments meet only those near them.
+    Joined on the key and on time slots (as wide as most segments are long), so a file's segments meet only those near them. A segment
+    over ``most`` slots long would be a row in each; such rows meet in slots ``most`` times as wide, beside all rows of the other side.
     """
-    slot = 60.0
-    slots = lambda s, e: F.explode(F.sequence(F.floor(s / slot), F.floor(e / slot)))
-    left = a.select(key, a_id, F.col("start").alias("a_start"), F.col("end").alias("a_end"), slots(F.col("start"), F.col("end")).alias("slot"))
-    right = b.select(key, "speaker", F.col("start").alias("b_start"), F.col("end").alias("b_end"), slots(F.col("start"), F.col("end")).alias("slot"))
-    met = left.join(right, [key, "slot"]).where((F.col("a_start") < F.col("b_end")) & (F.col("b_start") < F.col("a_end")))
-    first = F.floor(F.greatest("a_start", "b_start") / slot) == F.col("slot")  # each pair once
-    return met.where(first).withColumn("overlap", F.least("a_end", "b_end") - F.greatest("a_start", "b_start")).drop("slot")
+    slot = slot or slot_width(a, b)
+    left = a.select(key, a_id, F.col("start").alias("a_start"), F.col("end").alias("a_end"))
+    right = b.select(key, "speaker", F.col("start").alias("b_start"), F.col("end").alias("b_end"))
 
+    def met(x: DataFrame, y: DataFrame, wide: float) -> DataFrame:
+        slots = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / wide), F.floor(F.col(e) / wide))).alias("slot")
+        both = x.select("*", slots("a_start", "a_end")).join(y.select("*", slots("b_start", "b_end")), [key, "slot"])
+        first = F.floor(F.greatest("a_start", "b_start") / wide) == F.col("slot")  # each pair once
+        return both.where((F.col("a_start") < F.col("b_end")) & (F.col("b_start") < F.col("a_end")) & first).drop("slot")
 
-def overlap_speaker(a: DataFrame, b: DataFrame, key: str, a_id: str) -> DataFrame:
-    """The speaker of the largest single overlap, the earliest of equals."""
-    return overlaps(a, b, key, a_id).groupBy(key, a_id).agg(F.max_by("speaker", F.struct(F.round("overlap", 6), -F.col("b_start"))).alias("speaker"))
+    long_a, long_b = F.col("a_end") - F.col("a_start") > most * slot, F.col("b_end") - F.col("b_start") > most * slot
+    some = left.where("a_end >= a_start"), right.where("b_end >= b_start")
+    near = met(some[0].where(~long_a), some[1].where(~long_b), slot)
+    far = met(some[0].where(long_a), some[1], most * slot).unionByName(met(some[0].where(~long_a), some[1].where(long_b), most * slot))
+    return near.unionByName(far).withColumn("overlap", F.least("a_end", "b_end") - F.greatest("a_start", "b_start"))
+
+
+def overlap_speaker(a: DataFrame, b: DataFrame, key: str, a_id: str, default: str | None = None) -> DataFrame:
+    """The speaker of the largest single overlap, the earliest of equals.
+
+    With ``default`` every row of ``a`` stays: one without overlap gets the file's first segment that ends at or after its start or begins at
+    or before its end, else ``default``.
+    """
+    found = overlaps(a, b, key, a_id).groupBy(key, a_id).agg(F.max_by("speaker", F.struct(F.round("overlap", 6), -F.col("b_start"))).alias("speaker"))
+    if default is None:
+        return found
+    first = b.groupBy(key).agg(F.min_by("speaker", F.struct("start", "end", "speaker")).alias("_first"), F.min(F.struct("start", "end"))["start"].alias("_s"), F.min(F.struct("start", "end"))["end"].alias("_e"))
+    fits = (F.col("_e") >= F.col("start")) | (F.col("_s") <= F.col("end"))  # holds for nearly any row, so the file's first it is
+    out = a.select(key, a_id, "start", "end").join(found, [key, a_id], "left").join(first, key, "left")
+    return out.select(key, a_id, F.coalesce("speaker", F.when(fits, F.col("_first")), F.lit(default)).alias("speaker"))
 
 
 def overlap_vote(a: DataFrame, b: DataFrame, key: str, a_id: str) -> DataFrame:
@@ -99,6 +130,7 @@ def viterbi(df: DataFrame, group: str, order: str, scores: list[str], penalty: f
             path.append(step[path[-1]])
         return pd.DataFrame({group: pdf[group], order: pdf[order], "label": path[::-1]})
 
+    ship(df.sparkSession)
     kinds = dict(df.dtypes)
     return df.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {order} {kinds[order]}, label int")
 
@@ -185,5 +217,6 @@ def cut_segments(df: DataFrame, group: str, start: str, end: str, label: str, pa
         done.insert(0, group, pdf[group].iloc[0])
         return done
 
+    ship(df.sparkSession)
     kinds = dict(df.dtypes)
     return df.select(group, start, end, label, part).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, start double, end double, {label} {kinds[label]}")

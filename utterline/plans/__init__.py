@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from . import dialogs, queries, streams, topics  # noqa: F401
+from . import dialogs, queries, rows, streams, topics  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy, jsons, text
-from ..operators import report, sequence
+from ..operators import report, sequence, speakers
+from ..shipping import spread
 from .registry import query, table
 
 
@@ -54,14 +55,13 @@ def mode_nonempty(spark, sf_dir):
  SELECT user_id, mean_value, CAST(mean_value <= lo AS INT) AS quieter, CAST(mean_value >= hi AS INT) AS louder FROM m, q""")
 def quantile_flags(spark, sf_dir):
     means = table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.avg(F.col("value").cast("double")), 6).alias("mean_value"))
-    q = means.agg(F.percentile("mean_value", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
-    return means.join(F.broadcast(q)).select("user_id", "mean_value", (F.col("mean_value") <= F.get("q", 0)).cast("int").alias("quieter"), (F.col("mean_value") >= F.get("q", 1)).cast("int").alias("louder"))
+    low, high = report.exact_quantiles(means, "mean_value", [0.05, 0.95])
+    return means.select("user_id", "mean_value", (F.col("mean_value") <= low).cast("int").alias("quieter"), (F.col("mean_value") >= high).cast("int").alias("louder"))
 
 
 @query("SELECT count(*) AS n, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 6) AS finished, round(avg(CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0 ELSE 0.0 END), 6) AS urgent FROM orders")
 def rate_kpis(spark, sf_dir):
-    rate = lambda c: F.round(F.avg(F.coalesce(c.cast("double"), F.lit(0.0))), 6)
-    return table(spark, sf_dir, "orders").agg(F.count("*").alias("n"), rate(F.col("o_orderstatus") == "F").alias("finished"), rate(F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
+    return report.rates(table(spark, sf_dir, "orders"), {"finished": (F.col("o_orderstatus") == "F").cast("int"), "urgent": (F.col("o_orderpriority") == "1-URGENT").cast("int")})
 
 
 @query("SELECT o_orderpriority AS value, count(*) AS n, round(count(*) / (SELECT count(*) FROM orders)::DOUBLE, 6) AS share FROM orders GROUP BY 1")
@@ -71,8 +71,7 @@ def value_share(spark, sf_dir):
 
 @query("SELECT c.criterion, sum(c.hit) AS n, round(avg(c.hit::DOUBLE), 6) AS share FROM (SELECT 'quality' AS criterion, quality AS hit FROM labels UNION ALL SELECT 'toxic', toxic FROM labels) c GROUP BY 1")
 def criteria_coverage(spark, sf_dir):
-    stacked = table(spark, sf_dir, "labels").select(F.inline(F.array(*(F.struct(F.lit(n).alias("criterion"), F.col(n).cast("long").alias("hit")) for n in ("quality", "toxic")))))
-    return stacked.groupBy("criterion").agg(F.sum("hit").alias("n"), F.round(F.avg(F.col("hit").cast("double")), 6).alias("share"))
+    return report.coverage(table(spark, sf_dir, "labels"), {}, {n: F.col(n) for n in ("quality", "toxic")})
 
 
 @query("""WITH p AS (SELECT l_orderkey, l_linenumber, max(CASE WHEN l_returnflag <> 'N' THEN 1 ELSE 0 END) AS o, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS a FROM lineitem GROUP BY 1, 2)
@@ -96,7 +95,7 @@ def corr_matrix(spark, sf_dir):
 
 @query(_CORR + " WHERE r IS NOT NULL ORDER BY abs(r) DESC, metric_a, metric_b LIMIT 3")
 def top_pairs(spark, sf_dir):
-    return corr_matrix(spark, sf_dir).where("r IS NOT NULL").orderBy(F.abs("r").desc(), "metric_a", "metric_b").limit(3)
+    return report.most_correlated(corr_matrix(spark, sf_dir), 3).drop("line")
 
 
 @query(r"SELECT phrase, count(*) AS n FROM (SELECT trim(unnest(regexp_split_to_array(l_comment, ' +'))) AS phrase FROM part) WHERE phrase <> '' GROUP BY 1 ORDER BY n DESC, phrase LIMIT 10".replace("l_comment", "p_type || ' ' || p_brand"))
@@ -107,7 +106,7 @@ def top_phrases(spark, sf_dir):
 
 @query("SELECT o_orderpriority, count(*) AS n, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 6) AS finished_rate, sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS open_count FROM orders GROUP BY 1")
 def group_rate_by_intent(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.avg((F.col("o_orderstatus") == "F").cast("double")), 6).alias("finished_rate"), F.sum((F.col("o_orderstatus") == "O").cast("long")).alias("open_count"))
+    return report.grouped_rates(table(spark, sf_dir, "orders"), "o_orderpriority", {"finished_rate": F.col("o_orderstatus") == "F"}, {"open_count": (F.col("o_orderstatus") == "O").cast("int")})
 
 
 @query("""WITH t AS (SELECT conv_id, turn, role, regexp_extract(text, '[A-Za-z]+', 0) AS w, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS r FROM conversations)
@@ -185,12 +184,12 @@ def majority_filter(spark, sf_dir):
 
 @query(f'WITH {_SEGMENTS} SELECT user_id, event_type, count(*) AS n, round(sum(greatest(0, "end" - "start")), 3) AS seconds FROM s GROUP BY 1, 2')
 def speaker_totals(spark, sf_dir):
-    return _segments(spark, sf_dir).groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.round(F.sum(F.greatest(F.lit(0.0), F.col("end") - F.col("start"))), 3).alias("seconds"))
+    return report.speaker_totals(_segments(spark, sf_dir), "user_id", "event_type")
 
 
 @query("SELECT user_id, count(*) AS usage_count, max(ts) AS last_used FROM events GROUP BY 1")
 def usage_stats(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("usage_count"), F.max("ts").alias("last_used"))
+    return report.usage(table(spark, sf_dir, "events"), "user_id", "ts")
 
 
 _LEXICON = ["and", "de", "das", "los", "the", "with"]
@@ -233,8 +232,8 @@ def rule_cascade_label(spark, sf_dir):
 
 
 @query(r"""WITH p AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS x FROM (SELECT doc_id, regexp_split_to_array(text, '[;,|/\\]+') AS a FROM documents WHERE text IS NOT NULL)),
- c AS (SELECT doc_id, i, trim(regexp_replace(regexp_replace(x, '^[\s"''«»–-]+|[\s"''«»–-]+$', '', 'g'), '\s+', ' ', 'g')) AS v FROM p)
- SELECT doc_id, count(*) AS n_phrases, string_agg(v, '|' ORDER BY i) AS phrases FROM c WHERE v <> '' AND lower(v) <> 'nan' GROUP BY 1""")
+ c AS (SELECT doc_id, i, trim(regexp_replace(regexp_replace(x, '^[\s"''“”«»·–—-]+|[\s"''“”«»·–—-]+$', '', 'g'), '\s+', ' ', 'g')) AS v FROM p)
+ SELECT doc_id, count(*) AS n_phrases, string_agg(v, '|' ORDER BY i) AS phrases FROM c WHERE v <> '' GROUP BY 1""")
 def phrase_split(spark, sf_dir):
     found = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", text.phrases(F.col("text")).alias("p")).where(F.size("p") > 0)
     return found.select("doc_id", F.size("p").cast("long").alias("n_phrases"), F.array_join("p", "|").alias("phrases"))
@@ -248,8 +247,7 @@ def text_clean(spark, sf_dir):
 
 @query()
 def text_clean_repeat(spark, sf_dir):
-    clean = text.long_tokens(text.squeeze_chars(text.squeeze_repeats(F.col("text"))))
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", text.truncate(clean).alias("clean"))
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", text.truncate(text.clean_line(F.col("text"))).alias("clean"))
 
 
 @query("SELECT event_id, CAST(props->>'k' AS BIGINT) AS k, CAST(CAST(props->>'k' AS BIGINT) > 50 AS INT) AS high FROM events WHERE props IS NOT NULL")
@@ -276,19 +274,18 @@ def cosine_top1(spark, sf_dir):
     return v.join(p).select("vec_id", F.array_max(sims).alias("b")).select("vec_id", (-F.col("b.n")).alias("pattern_id"), F.round("b.sim", 5).alias("sim"))
 
 
-@query("""WITH s AS (SELECT conv_id, role, sum(CASE WHEN lower(text) LIKE '%ing%' THEN 1 ELSE 0 END - CASE WHEN lower(text) LIKE '%you%' THEN 1 ELSE 0 END) AS score, min(turn) AS t FROM conversations GROUP BY 1, 2)
- SELECT conv_id, role, CASE WHEN row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, t) = 1 THEN 'SALES' ELSE 'CLIENT' END AS speaker FROM s""")
+@query("""WITH s AS (SELECT conv_id, role, sum(CASE WHEN lower(text) LIKE '%ing%' THEN 1 ELSE 0 END - CASE WHEN lower(text) LIKE '%you%' THEN 1 ELSE 0 END) AS score, min(CASE WHEN lower(text) LIKE '%ing%' THEN turn END) AS sold, min(CASE WHEN lower(text) LIKE '%you%' THEN turn END) AS bought FROM conversations GROUP BY 1, 2),
+ f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, sold NULLS LAST, bought NULLS LAST, role) AS r FROM s WHERE sold IS NOT NULL OR bought IS NOT NULL)
+ SELECT c.conv_id, c.turn, CASE WHEN f.role IS NULL THEN c.role WHEN c.role = f.role THEN 'SALES' ELSE 'CLIENT' END AS speaker FROM conversations c LEFT JOIN f ON f.conv_id = c.conv_id AND r = 1""")
 def speaker_score_role(spark, sf_dir):
     t = F.lower("text")
-    s = table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.sum(t.contains("ing").cast("int") - t.contains("you").cast("int")).alias("score"), F.min("turn").alias("t"))
-    first = F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("score"), "t")) == 1
-    return s.select("conv_id", "role", F.when(first, "SALES").otherwise("CLIENT").alias("speaker"))
+    return speakers.by_score(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", t.contains("ing"), t.contains("you")).select("conv_id", "turn", F.col("role").alias("speaker"))
 
 
 @query("""SELECT count(*) AS total, count(l.doc_id) AS processed, count(*) - count(l.doc_id) AS pending, round(100 * count(l.doc_id) / count(*)::DOUBLE, 4) AS coverage FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 def status_counts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("l")), "doc_id", "left")
-    return d.agg(F.count("*").alias("total"), F.count("l").alias("processed"), (F.count("*") - F.count("l")).alias("pending"), F.round(100 * F.count("l") / F.count("*"), 4).alias("coverage"))
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("l")), "doc_id", "left")
+    return report.stage_counts(d, F.col("l").isNotNull())
 
 
 @query("""WITH s AS (SELECT l.quality AS y, least(1.0, d.n_chars / 4000.0) AS p FROM documents d JOIN labels l ON d.doc_id = l.doc_id), t AS (SELECT unnest(range(0, 17)) AS k),
@@ -297,29 +294,25 @@ def status_counts(spark, sf_dir):
 def threshold_search_f1(spark, sf_dir):
     """F1 at seventeen thresholds in one aggregation of the scores."""
     s = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("quality").alias("y"), F.least(F.lit(1.0), F.col("n_chars") / 4000.0).alias("p"))
-    at = [round(0.1 + 0.05 * k, 2) for k in range(17)]
-    f1 = [F.try_divide(2.0 * F.sum(((F.col("p") >= t) & (F.col("y") == 1)).cast("int")), F.sum((F.col("p") >= t).cast("int")) + F.sum("y")) for t in at]
-    one = s.agg(F.array(*(F.struct(F.lit(t).alias("threshold"), F.round(f, 6).alias("f1")) for t, f in zip(at, f1, strict=True))).alias("x"))
-    return one.select(F.inline("x"))
+    return report.threshold_f1(s, F.col("p"), F.col("y"), [round(0.1 + 0.05 * k, 2) for k in range(17)])
 
 
 @query("SELECT user_id, count(*) AS n, round(avg(v), 6) AS mean, max(v) AS most, min(v) AS least, round(stddev_pop(v), 6) AS deviation, round(quantile_cont(v, 0.95), 6) AS p95, round(quantile_cont(v, 0.25), 6) AS p25 FROM (SELECT user_id, CAST(value AS DOUBLE) AS v FROM events) GROUP BY 1")
 def loudness_stats(spark, sf_dir):
-    v = F.col("value").cast("double")
-    q = F.percentile(v, F.array(F.lit(0.95), F.lit(0.25)))
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.avg(v), 6).alias("mean"), F.max(v).alias("most"), F.min(v).alias("least"), F.round(F.stddev_pop(v), 6).alias("deviation"), F.round(F.get(q, 0), 6).alias("p95"), F.round(F.get(q, 1), 6).alias("p25"))
+    return report.level_stats(table(spark, sf_dir, "events"), "user_id", F.col("value").cast("double")).select("user_id", "n", "mean", "most", "least", "deviation", "p95", "p25")
 
 
 @query()
 def fuzzy_phrase(spark, sf_dir):
     greetings = ["hello and welcome", "good morning", "how can i help", "thank you for calling"]
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", fuzzy.best_phrase(F.lower("text"), greetings, 60).alias("greeting"))
+    rows = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn")
+    return rows.select("conv_id", "turn", fuzzy.best_phrase(F.lower("text"), greetings, 60).alias("greeting"))
 
 
 @query()
 def json_repair(spark, sf_dir):
     broken = F.concat(F.lit("Answer:\n```json\n"), F.replace("props", F.lit('"'), F.lit("'")), F.lit(",\n```"))
-    return table(spark, sf_dir, "events").select("event_id", jsons.repair(broken).alias("fixed"))
+    return spread(table(spark, sf_dir, "events").select("event_id", "props"), "event_id").select("event_id", jsons.repair(broken).alias("fixed"))
 
 
 @query()
