@@ -150,7 +150,7 @@ def less_noise(x: np.ndarray, rate: int, quiet: float = 0.1, keep: float = 0.1,
     spectrum = np.fft.rfft(frames)
     level = np.abs(spectrum)
     calm = level[np.argsort(level.sum(axis=1))[: max(1, int(len(frames) * quiet))]].mean(axis=0)
-    out, got = np.zeros(len(x)), np.fft.irfft(spectrum * np.where(level > 1.5 * calm, 1.0, keep), size)
+    out, got = np.zeros(len(x)), np.fft.irfft(spectrum * np.where(level > 2.5 * calm, 1.0, keep), size)
     for k, f in enumerate(got):
         out[k * hop : k * hop + size] += f
     weight = np.zeros(len(x))

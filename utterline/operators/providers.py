@@ -23,6 +23,11 @@ OUTCOMES = ("next_step_set", "resolved", "unresolved", "followup_needed")
 MOODS = ("positive", "neutral", "negative")
 
 
+def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    """Rows with plain Python values in columns that aren't seconds: empty Arrow-backed strings don't pass into Spark."""
+    return pd.DataFrame(rows, columns=columns, dtype=object).astype({"start": float, "end": float})
+
+
 def tried(ask: Callable[[Any], Any], x: Any, tries: int = 3, backoff: float = 1.8, warm_up: Callable[[], Any] | None = None, sleep: Callable[[float], None] = time.sleep) -> tuple[Any, str | None]:
     """(answer, None), or (None, the last error) after ``tries``; waits ``backoff`` to the power of the failures so far, after a warm-up that may fail."""
     error = None
@@ -82,7 +87,7 @@ def recognised(files: DataFrame, spans: DataFrame, make: Callable[[], Callable[[
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"file_name": [], "start": [], "end": [], "text": []})
+            return _frame([], ["file_name", "start", "end", "text"])
         hear = make()
         x, own = audio.decode(left["content"].iloc[0])
         x = audio.resample(x, own, rate)
@@ -92,7 +97,7 @@ def recognised(files: DataFrame, spans: DataFrame, make: Callable[[], Callable[[
             for b in drop:
                 said = said.replace(b, "")
             out.append((key[0], s, e, said.strip()))
-        return pd.DataFrame(out, columns=["file_name", "start", "end", "text"])
+        return _frame(out, ["file_name", "start", "end", "text"])
 
     ship(files.sparkSession)
     return files.select("file_name", "content").groupBy("file_name").cogroup(spans.select("file_name", "start", "end").groupBy("file_name")).applyInPandas(run, "file_name string, start double, end double, text string")
@@ -109,7 +114,7 @@ def voiced(files: DataFrame, make: Callable[[], Callable[[np.ndarray, int], list
                 x, own = audio.decode(content)
                 x = audio.resample(x, own, rate)
                 rows += [(name, float(s), float(e)) for s, e in find(x if most is None else x[: int(most * rate)], rate)]
-            yield pd.DataFrame(rows, columns=["file_name", "start", "end"])
+            yield _frame(rows, ["file_name", "start", "end"])
 
     ship(files.sparkSession)
     return files.select("file_name", "content").mapInPandas(run, "file_name string, start double, end double")
@@ -121,7 +126,7 @@ def embedded(files: DataFrame, windows: DataFrame, make: Callable[[], Callable[[
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"file_name": [], "start": [], "end": [], "embedding": []})
+            return _frame([], ["file_name", "start", "end", "embedding"])
         see = make()
         x, own = audio.decode(left["content"].iloc[0])
         x = audio.resample(x, own, rate)
@@ -129,7 +134,7 @@ def embedded(files: DataFrame, windows: DataFrame, make: Callable[[], Callable[[
         for s, e in sorted(zip(right["start"], right["end"], strict=True)):
             v = np.asarray(see(audio.cmvn(audio.fit_length(x[int(s * rate) : int(e * rate)], n)), rate), float)
             out.append((key[0], s, e, (v / (np.linalg.norm(v) + 1e-12)).tolist()))
-        return pd.DataFrame(out, columns=["file_name", "start", "end", "embedding"])
+        return _frame(out, ["file_name", "start", "end", "embedding"])
 
     ship(files.sparkSession)
     return files.select("file_name", "content").groupBy("file_name").cogroup(windows.select("file_name", "start", "end").groupBy("file_name")).applyInPandas(run, "file_name string, start double, end double, embedding array<double>")

@@ -142,9 +142,9 @@ def vector_cmvn(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").withColumn("n", audio.normalised(F.col("embedding"))).select("vec_id", F.round(F.get("n", 0), 4).alias("first"), F.round(F.get("n", 63), 4).alias("last"))
 
 
-@query("SELECT count(DISTINCT o_custkey) AS dialogs, count(*) AS rows, round(sum(o_shippriority + o_orderkey % 100) / 3600.0, 6) AS hours FROM orders")
+@query("SELECT count(DISTINCT o_custkey) AS dialogs, count(*) AS rows, round(sum(o_orderkey % 100) / 3600.0, 6) AS hours FROM orders")
 def report_totals(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").withColumn("seconds", (F.col("o_shippriority") + F.col("o_orderkey") % 100).cast("string"))
+    o = table(spark, sf_dir, "orders").withColumn("seconds", (F.col("o_orderkey") % 100).cast("string"))
     return report.totals(o, "o_custkey", "seconds").withColumn("hours", F.round("hours", 6))
 
 
@@ -193,11 +193,12 @@ def line_formats(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", text.clock(i + 0.5).alias("clock"), text.row_line(i / 4, i / 2, F.col("event_type"), F.lit("x")).alias("line"))
 
 
-@query("""WITH t AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'back' WHEN l_linestatus = 'F' THEN 'done' END AS t FROM lineitem), m AS (SELECT l_orderkey, t, min(l_linenumber) AS i FROM t WHERE t IS NOT NULL GROUP BY 1, 2)
+@query("""WITH t AS (SELECT l_orderkey, l_linenumber * 1000000000000 + l_suppkey * 1000000 + CAST(l_quantity * 100 AS BIGINT) AS l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'back' WHEN l_linestatus = 'F' THEN 'done' END AS t FROM lineitem), m AS (SELECT l_orderkey, t, min(l_linenumber) AS i FROM t WHERE t IS NOT NULL GROUP BY 1, 2)
  SELECT l_orderkey, string_agg(t, ', ' ORDER BY i) AS topics FROM m GROUP BY 1""")
 def dialog_themes(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") == "R", "Back to shop").when(F.col("l_linestatus") == "F", " done , other").otherwise("none").alias("theme"))
-    return dialogs.theme_labels(li, "l_orderkey", "l_linenumber", "theme", ["back", "done"], [("back", "back")]).select("l_orderkey", F.array_join("topics", ", ").alias("topics"))
+    at = F.col("l_linenumber") * F.lit(10**12) + F.col("l_suppkey") * F.lit(10**6) + (F.col("l_quantity") * 100).cast("long")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", at.alias("at"), F.when(F.col("l_returnflag") == "R", "Back to shop").when(F.col("l_linestatus") == "F", " done , other").otherwise("none").alias("theme"))
+    return dialogs.theme_labels(li, "l_orderkey", "at", "theme", ["back", "done"], [("back", "back")]).select("l_orderkey", F.array_join("topics", ", ").alias("topics"))
 
 
 @query("""WITH a AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part) SELECT p_partkey, upper(left(w[1], 1)) || lower(substr(w[1], 2)) AS first, left(p_name, 8) || CASE WHEN length(p_name) > 8 THEN '…' ELSE '' END AS shown FROM (SELECT a.p_partkey, w, p_name FROM a JOIN part USING (p_partkey))""")
@@ -212,7 +213,7 @@ def exact_quantile_places(spark, sf_dir):
     return spark.createDataFrame([tuple(q)], "low double, middle double, high double")
 
 
-@query("""WITH c AS (SELECT conv_id, turn, string_split(lower(text), ' ') AS w FROM conversations) SELECT conv_id, turn, CASE WHEN list_has_all(w, ['the', 'with']) THEN 'with the' WHEN list_has_all(w, ['of']) THEN 'of' END AS phrase FROM c""")
+@query(r"""WITH c AS (SELECT conv_id, turn, regexp_split_to_array(trim(lower(text)), '[\s]+') AS w FROM conversations) SELECT conv_id, turn, CASE WHEN list_has_all(w, ['the', 'with']) THEN 'with the' WHEN list_has_all(w, ['of']) THEN 'of' END AS phrase FROM c""")
 def subset_else_nearest(spark, sf_dir):
     """No pattern vector is near, so the subset decides."""
     rows = table(spark, sf_dir, "conversations")
