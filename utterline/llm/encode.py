@@ -39,7 +39,7 @@ class ChunkEncoder(Generations):
     ``size`` bounds the bytes kept in each of two generations.
     """
 
-    def __init__(self, path: str, size: int = 56 << 20):
+    def __init__(self, path: str, size: int = 80 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
