@@ -60,7 +60,7 @@ def default_byte_tokenizer() -> str:
 class BytePairs:
     """The transducer of one vocabulary file (JSON, byte-level, without normalizer)."""
 
-    def __init__(self, path: str, size: int = 36 << 20):
+    def __init__(self, path: str, size: int = 72 << 20):
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
         letters = {c: b for b, c in byte_letters().items()}
