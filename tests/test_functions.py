@@ -108,6 +108,8 @@ def test_lexicons(spark):
     assert [r[0] for r in df.select(text.first_hit(F.col("t"), ["bob", "Carl"])).collect()] == ["BOB", None, None]
     low = F.lower("t")
     assert [r[0] for r in df.select(text.matched(low, ["bob", "x-ray", "ann"], ["and"])).collect()] == [["bob", "x-ray"], None, None]
+    assert [r[0] for r in df.select(text.matched(low, ["x-ray", "and", "met", "bob"], ["and"], as_listed=True)).collect()] == [["x-ray", "met", "bob"], None, None]
+    assert [r[0] for r in df.select(text.matched(low, [], as_listed=True)).collect()] == [None, None, None]
     assert text.variants({"a": ["X", "y"], "b": ["z"]}) == ["x", "y", "z"]
     kinds = {"pick": ["met bob", "x ray"], "other": ["nobody"]}
     assert [r[0] for r in df.select(text.labels_of(F.col("t"), kinds)).collect()] == ["pick", None, None] and df.select(text.labels_of(F.col("t"), kinds, F.lit(" "))).first()[0] is None

@@ -130,17 +130,18 @@ def _single(words: Iterable[str]) -> tuple[list[str], list[str]]:
     return one, [w for w in words if not re.fullmatch(r"\w+", w)]
 
 
-def matched(c: Column, lexicon: Iterable[str], exclude: Iterable[str] = ()) -> Column:
-    """Sorted lexicon words that stand alone in the text; null if none.
+def matched(c: Column, lexicon: Iterable[str], exclude: Iterable[str] = (), as_listed: bool = False) -> Column:
+    """Lexicon words that stand alone in the text, sorted, or in the lexicon's order if ``as_listed``; null if none.
 
     The text is cut into tokens once, and words of one token are looked up in a hash set, so a lexicon's size hardly matters;
     words with other signs are patterns of their own.
     """
+    lexicon = list(lexicon)
     one, more = _single(set(lexicon) - set(exclude))
     hits = F.array_distinct(F.filter(tokens(c), lambda t: t.isin(one))) if one else F.array().cast("array<string>")
     if more:
         hits = F.array_union(hits, F.array_compact(F.array(*(F.when(has_word(c, w), F.lit(w)) for w in more))))
-    return F.when(F.size(hits) > 0, F.array_sort(hits))
+    return F.when(F.size(hits) > 0, F.array_intersect(F.array(*map(F.lit, lexicon)), hits) if as_listed else F.array_sort(hits))
 
 
 def first_hit(c: Column, lexicon: Iterable[str]) -> Column:

@@ -199,7 +199,7 @@ _HAS = lambda w: rf"regexp_matches(lower(text), '(^|[^\p{{L}}\p{{N}}_]){w}($|[^\
 @query("SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_HAS(w)} THEN '{w}' END" for w in _LEXICON) + "], lambda x: x IS NOT NULL), ', ') AS found FROM documents WHERE text IS NOT NULL")
 def exact_lexicon(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    return docs.select("doc_id", F.coalesce(F.array_join(text.matched(F.lower("text"), _LEXICON), ", "), F.lit("")).alias("found"))
+    return docs.select("doc_id", F.coalesce(F.array_join(text.matched(F.lower("text"), _LEXICON, as_listed=True), ", "), F.lit("")).alias("found"))
 
 
 @query("SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(lower(text), '(?s)the.*with.*and') THEN 'the with and' END, CASE WHEN regexp_matches(lower(text), '(?s)de.*la.*en') THEN 'de la en' END], lambda x: x IS NOT NULL), ', ') AS found FROM documents WHERE text IS NOT NULL")
