@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 from collections.abc import Callable
@@ -30,7 +31,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def arriving(spark: SparkSession, folder: str, schema, names: str = "*", files_at_once: int = 1000, archive: str | None = None) -> DataFrame:
-    """Parquet files of ``folder`` as a stream; with ``archive`` they are moved there once they are done with."""
+    """Parquet files of ``folder`` as a stream; with ``archive`` they are moved there once they are done with.
+
+    With ``names`` only files named so; where that is the name of a folder, as many writers make of one table, the files in it.
+    """
+    own = spark._jvm.org.apache.hadoop.fs.Path(folder, names) if not re.search(r"[*?\[{\\]", names) else None
+    fs = own and own.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if own and fs.exists(own) and fs.getFileStatus(own).isDirectory():
+        folder, names = f"{folder}/{names}", "*"
     reader = spark.readStream.schema(schema).option("pathGlobFilter", names).option("maxFilesPerTrigger", files_at_once)
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
