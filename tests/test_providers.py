@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -129,3 +131,13 @@ def test_models_are_kept(spark, tmp_path):
     topics.save(f"{tmp_path}/m", *model, threshold)
     features, models, again = topics.load(f"{tmp_path}/m")
     assert again == threshold and all(r.topics == r.y for r in topics.predict(held, "t", features, models, again).collect())
+
+
+def test_long_vectors_are_normalised(spark):
+    x = np.random.default_rng(3).normal(5, 2, 1000)
+    rows = [(0, x.tolist()), (1, [1.0, None, 3.0]), (2, [4.0, 4.0]), (3, []), (4, None), (5, [None])]
+    began = time.time()
+    got = [r[0] for r in spark.createDataFrame(rows, "i int, v array<double>").orderBy("i").select(audio.normalised(F.col("v"))).collect()]
+    assert time.time() - began < 60
+    assert np.allclose(got[0], (x - x.mean()) / x.std())
+    assert got[1:] == [[-1.0, None, 1.0], [0.0, 0.0], [], None, [None]]

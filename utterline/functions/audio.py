@@ -165,8 +165,9 @@ def trimmed(x: np.ndarray, rate: int, most: float = 300.0) -> np.ndarray:
 
 
 def normalised(v: Column) -> Column:
-    """A vector less its mean, over its deviation; by 1 where that is next to nothing."""
-    n = F.size(v)
-    mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double")) / n
-    var = F.aggregate(v, F.lit(0.0), lambda s, x: s + (x.cast("double") - mean) * (x.cast("double") - mean)) / n
-    return F.transform(v, lambda x: (x.cast("double") - mean) / F.when(F.sqrt(var) < 1e-6, F.lit(1.0)).otherwise(F.sqrt(var)))
+    """A vector less its mean, over its deviation; by 1 where that is next to nothing. Null components count in neither."""
+    once = lambda c, f: F.get(F.transform(F.array(c), f), 0)  # noqa: E731 - what a lambda of an array holds is computed once, not for each component
+    real = F.transform(v, lambda x: x.cast("double"))
+    mean = lambda y: F.aggregate(y, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)), lambda s: F.try_divide(s, F.size(F.array_compact(y))))
+    scaled = lambda y: once(F.sqrt(mean(F.transform(y, lambda x: x * x))), lambda d: F.when(d < 1e-6, y).otherwise(F.transform(y, lambda x: x / d)))
+    return once(real, lambda w: once(mean(w), lambda m: once(F.transform(w, lambda x: x - m), scaled)))
