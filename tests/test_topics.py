@@ -1,6 +1,12 @@
+import time
+
+import numpy as np
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import IDF, HashingTF, Normalizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from utterline.operators import topics
+from utterline.operators import grams, topics
 from utterline.plans import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -15,3 +21,51 @@ def test_held_out_languages_are_found(spark):
 def test_clean_drops_speakers(spark):
     df = spark.createDataFrame([("Sales: Hello\nClient :  I: you",), (None,)], "t string")
     assert [r[0] for r in df.select(topics.clean(F.col("t"))).collect()] == ["hello i: you", ""]
+
+
+def _plain(text):
+    words = [w for w in text.split() if len(w) > 1]
+    inside = [p[i : i + n] for w in words for p in [f" {w} "] for n in (3, 4, 5) for i in range(max(len(p) - n + 1, 1))]
+    return words + [f"{a} {b}" for a, b in zip(words, words[1:])] + inside
+
+
+def test_terms_are_hashed_and_weighed_as_by_mllib(spark):
+    texts = ["the a thé the cat", "", "x", "ёлка и 日本語 𝒳𝒴 ab", "ab", "w" * 300 + " ab cat", "the cat ab " * 5]
+    plain = HashingTF(inputCol="g", outputCol="n", numFeatures=997).transform(spark.createDataFrame([(i, _plain(t)) for i, t in enumerate(texts)], "i int, g array<string>"))
+    idf = IDF(inputCol="n", outputCol="x", minDocFreq=2).fit(plain)
+    want = [np.array(r[0]) for r in plain.orderBy("i").select(vector_to_array("n")).collect()]
+    for parts in ([texts], [texts[:3], texts[3:]]):
+        made = [grams.block(p, 997) for p in parts]
+        got = [np.bincount(idx, count, 997) for b in made for idx, count in grams.terms(b)]
+        assert all((a == b).all() for a, b in zip(got, want, strict=True))
+        assert (sum(grams.rows_with(b, 997) for b in made) == sum(w > 0 for w in want)).all()
+        own, r = np.random.default_rng(1).random((2, 997)), np.random.default_rng(2).random((2, len(texts)))
+        assert np.allclose(np.concatenate([grams.times(grams.wide(b), own) for b in made], 1), own @ np.array(want).T)
+        assert np.allclose(grams.back(grams.wide(made[0]), r[:, : len(parts[0])], 997), r[:, : len(parts[0])] @ np.array(want[: len(parts[0])]))
+        lengths = [np.linalg.norm(w * idf.idf.toArray()) or 1.0 for w in want]
+        assert np.allclose(np.concatenate([grams.norms(b, idf.idf.toArray()) for b in made]), lengths)
+    assert not len(grams.block([], 997)["g_idx"]) and [(0, 1), (1, 3), (3, 4)] == list(grams.blocks(["aaaa", "b", "c", "dddd"], 3))
+
+
+def test_models_are_those_of_mllib(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(rng.choice(["red", "apple", "pie", "blue", "river", "boat"], 6, p=[0.3, 0.2, 0.2, 0.1, 0.1, 0.1] if i % 3 else [0.1, 0.1, 0.1, 0.2, 0.2, 0.3])), ["food"] if i % 3 else ["water"]) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, t string, y array<string>")
+    features, models = topics.fit(df, "t", "y", ["food", "water", "none"], buckets=256, iterations=200)
+    x = HashingTF(inputCol="g", outputCol="n", numFeatures=256).transform(spark.createDataFrame([(i, _plain(t), float(i % 3 > 0), 0.75 if i % 3 else 1.5) for i, t, _ in rows], "i int, g array<string>, y double, w double"))
+    idf = IDF(inputCol="n", outputCol="r", minDocFreq=3).fit(x)
+    x = Normalizer(inputCol="r", outputCol="x").transform(idf.transform(x))
+    want = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", maxIter=200, regParam=1e-3).fit(x).transform(x).orderBy("i").select(vector_to_array("probability")[1]).collect()
+    got = df.select("i", topics.probabilities(df, "t", features, models).alias("p")).orderBy("i").collect()
+    assert list(models) == ["food", "water"] and np.allclose(features.idf, idf.idf.toArray())
+    assert np.allclose([r.p[0] for r in got], [r[0] for r in want], atol=0.02)
+
+
+def test_long_texts_are_learnt_in_time(spark):
+    rng = np.random.default_rng(6)
+    words = [["".join(rng.choice(list(letters), 6)) for _ in range(3000)] for letters in ("abcdefgh", "efghijkl")]
+    df = spark.createDataFrame([(" ".join(rng.choice(words[i % 2], 20_000)), [str(i % 2)]) for i in range(300)], "t string, y array<string>").repartition(4).cache()
+    df.count()
+    began = time.time()
+    assert all(r.topics == r.y for r in topics.predict(df, "t", *topics.fit(df, "t", "y", ["0", "1"])).select("topics", "y").collect())
+    assert time.time() - began < 90
