@@ -69,3 +69,14 @@ def test_long_texts_are_learnt_in_time(spark):
     began = time.time()
     assert all(r.topics == r.y for r in topics.predict(df, "t", *topics.fit(df, "t", "y", ["0", "1"])).select("topics", "y").collect())
     assert time.time() - began < 90
+
+
+def test_models_are_learnt_to_the_end(spark):
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(400)]
+    rows = [(" ".join(rng.choice(words[:300] if i % 3 else words[100:], 12)), ["a"] if i % 3 else []) for i in range(400)]
+    df = spark.createDataFrame(rows, "t string, y array<string>").repartition(4).cache()
+    own, end = (topics.fit(df, "t", "y", ["a"], buckets=4096, **more)[1]["a"] for more in ({}, {"iterations": 2000}))
+    assert np.allclose(own.weights, end.weights) and np.isclose(own.intercept, end.intercept)
+    short = topics.fit(df, "t", "y", ["a"], buckets=4096, iterations=15)[1]["a"]
+    assert np.linalg.norm(short.weights - end.weights) > 0.01 * np.linalg.norm(end.weights)  # so the case needs more than 15
