@@ -1,6 +1,9 @@
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
@@ -80,3 +83,24 @@ def test_models_are_learnt_to_the_end(spark):
     assert np.allclose(own.weights, end.weights) and np.isclose(own.intercept, end.intercept)
     short = topics.fit(df, "t", "y", ["a"], buckets=4096, iterations=15)[1]["a"]
     assert np.linalg.norm(short.weights - end.weights) > 0.01 * np.linalg.norm(end.weights)  # so the case needs more than 15
+
+
+def test_blocks_are_made_in_little_memory():
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdeéß"), n)) for n in rng.integers(2, 14, 20_000)]
+    texts = [" ".join(rng.choice(words, 500)) for _ in range(250)]
+    tracemalloc.start()
+    grams.block(texts, 1 << 17)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * sum(len(t.encode()) for t in texts)
+
+
+def test_stored_blocks_are_read_one_at_a_time(spark, tmp_path):
+    blocks = lambda x: ({"truth": np.random.default_rng(i).integers(0, 256, 9 << 20)} for i in x.column(0).to_pylist())
+    with topics._passing(spark):
+        rows = topics._written(spark.range(0, 6, 1, 1), ["truth"], blocks, f"{tmp_path}/b")
+        sizes = rows.mapInArrow(lambda xs: (x.append_column("n", pa.array([x.num_rows] * x.num_rows)).select(["n"]) for x in xs), "n long").collect()
+    assert [r.n for r in sizes] == [1] * 6
+    assert all(pq.ParquetFile(p).num_row_groups >= 3 for p in tmp_path.glob("b/*.parquet"))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
